@@ -11,6 +11,7 @@ evidence gives the score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,14 @@ from addrforge.llm.minhash_dedup import _weighted
 from addrforge.llm.runtime import chunks, small_batches
 
 #: Labelled documents of each label that the model is fitted on (the first by hash of doc_id), whole texts.
-TRAIN_DOCS = 8000
-#: A term stands in this many toxic training documents at least, and this share of those it stands in is toxic.
-LEAST_DOCS, LEAST_SHARE, TERMS = 8, 0.75, 2000
-STEM_LENGTHS = range(4, 9)
+TRAIN_DOCS = 3000
+#: A term stands in this many toxic training documents at least; of as many toxic and clean ones, this share of
+#: those it stands in is toxic; and so many candidates, the most frequent ones, are weighed at most.
+LEAST_DOCS, LEAST_SHARE, TERMS = 8, 0.9, 20_000
+STEM_LENGTHS = range(3, 10)
 #: Words on either side of a hit that are read as its context, and what a quoted or misspelled hit weighs.
 WINDOW, QUOTED, MISSPELLED = 6, 0.25, 0.6
-REPORTING = frozenset("said says wrote writes quote quoted quotes cited cites called reported reports word term article sagte schrieb zitat zitiert a dit écrit citation dijo escribió cita palabra".split()) - {"a"}
+REPORTING = frozenset("said says wrote writes quote quoted quotes cited cites called reported reports word term article sagte schrieb zitat zitiert dit écrit citation dijo escribió cita palabra".split())
 OPENING, CLOSING = "“«‹„‘", "”»›“’"
 WORDS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 1_000_000
@@ -59,6 +61,7 @@ class Lexicon:
             parts |= {t[i : i + step] for i in range(0, len(t), step)}
         self.gate = re.compile("|".join(map(re.escape, sorted(parts))) if parts else r"(?!)")
         self.known: dict[str, tuple[str, int] | None] = {}
+        self.clean: set[str] = set()
 
     def find(self, word: str) -> tuple[str, int] | None:
         found = self.known.get(word, self)
@@ -68,6 +71,19 @@ class Lexicon:
             found = self.known[word] = self._intersect(word) if self.gate.search(word) else None
         return found
 
+    def suspects(self, text: str) -> set[str]:
+        """Words of the text that are hits; space-separated strings without any are remembered."""
+        if len(self.clean) > REMEMBERED:
+            self.clean.clear()
+        found = set()
+        for piece in set(text.split()).difference(self.clean):
+            hits = [w for w in WORDS.findall(piece.lower()) if self.find(w)]
+            if hits:
+                found.update(hits)
+            else:
+                self.clean.add(piece)
+        return found
+
     def _intersect(self, word: str) -> tuple[str, int] | None:
         """The trie walked together with the word's Levenshtein automaton; fewest edits first, then heavier terms."""
         best = None
@@ -96,10 +112,10 @@ class Lexicon:
 
 def evidence(text: str, lexicon: Lexicon) -> tuple[float, list[tuple[str, str, bool]]]:
     """Summed weight of the hits in a text, and the hits: (word, term, quoted)."""
-    lowered = text.lower()
-    suspects = {w for w in set(WORDS.findall(lowered)) if lexicon.find(w)}
+    suspects = lexicon.suspects(text)
     if not suspects:
         return 0.0, []
+    lowered = text.lower()
     words = [(m.group(), m.start(), m.end()) for m in WORDS.finditer(lowered)]
     total, hits = 0.0, []
     for i, (word, a, b) in enumerate(words):
@@ -118,13 +134,20 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[float, list[tuple[str, str, b
     return total, hits
 
 
-def _terms(batches):
-    for part, text in chunks(batches, "text"):
-        ids, toxic, found = part.column("sketch").to_pylist(), part.column("toxic").to_pylist(), text.to_pylist()
-        for k, t, x in zip(ids, toxic, found, strict=True):
-            words = set(WORDS.findall(x.lower()))
-            terms = words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(terms), pa.int64()), pa.array([t] * len(terms), pa.int32()), pa.array(list(terms), pa.string())], ["sketch", "toxic", "term"])
+def _terms_of(text: str) -> set[str]:
+    words = set(WORDS.findall(text.lower()))
+    return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
+
+
+def _count_terms(only: frozenset[str] | None):
+    def run(batches):
+        total: Counter[str] = Counter()
+        for batch in batches:
+            for x in batch.column("text").to_pylist():
+                total.update(_terms_of(x) if only is None else only.intersection(_terms_of(x)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+    return run
 
 
 def _sketches(batches):
@@ -146,31 +169,22 @@ def _evidences(lexicon_terms: dict[str, float]):
 
 
 def _choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms by log-odds; a stem stands for the words and longer stems it covers, unless it blurs them."""
-    scored = {}
-    for term, with_toxic, with_clean in rows:
-        odds = np.log((with_toxic + 0.5) / (n_toxic - with_toxic + 0.5)) - np.log((with_clean + 0.5) / (n_clean - with_clean + 0.5))
-        balanced = (with_toxic / n_toxic) / (with_toxic / n_toxic + with_clean / n_clean)
-        deviation = np.sqrt(1 / (with_toxic + 0.5) + 1 / (with_clean + 0.5))
-        if balanced >= LEAST_SHARE and odds / deviation >= 3.5:
-            scored[term] = (float(odds), with_toxic)
+    """Terms with their log-odds; of nested ones (stems and words that open alike) the strongest association stays."""
+    scored = []
+    for term, a, c in rows:
+        if a / n_toxic < LEAST_SHARE * (a / n_toxic + c / n_clean):
+            continue
+        cells = np.array([[a, n_toxic - a], [c, n_clean - c]], float)
+        expected = cells.sum(1, keepdims=True) * cells.sum(0, keepdims=True) / cells.sum()
+        strength = 2 * float((cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum())
+        odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
+        if strength >= 20:  # far beyond what some thousand tries bring about by chance
+            scored.append((strength, term, float(odds)))
     chosen: dict[str, float] = {}
-    covered_by: dict[str, int] = {}
-    for term in sorted(scored, key=lambda t: (len(t.rstrip("*")), t)):
-        odds, support = scored[term]
+    for _, term, odds in sorted(scored, key=lambda s: (-round(s[0], 6), -len(s[1].rstrip("*")), s[1])):
         body = term.rstrip("*")
-        stems = [body[:n] + "*" for n in STEM_LENGTHS if n < len(body) and body[:n] + "*" in chosen]
-        if stems:
-            continue
-        if not term.endswith("*") and any(t.endswith("*") and t[:-1] == body for t in chosen):
-            continue
-        if term.endswith("*"):
-            # a stem whose toxic documents all come from one word adds nothing but blur: keep the word
-            words = [t for t in scored if not t.endswith("*") and t.startswith(body)]
-            if any(scored[w][1] >= 0.8 * support for w in words):
-                continue
-        chosen[term] = odds
-        covered_by[term] = support
+        if not any(body.startswith(t.rstrip("*")) or t.startswith(body) for t in chosen):
+            chosen[term] = odds
     return chosen
 
 
@@ -185,16 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     chosen = marked.withColumn("r", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= train_docs).select("doc_id", "toxic")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = texts.mapInArrow(_sketches, "doc_id long, text string, toxic int, sketch long").cache()
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("sketch").alias("n")).collect()}
+    once = sample.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    once = sample.join(F.broadcast(once.select("doc_id")), "doc_id", "left_semi").select("toxic", "text")
+    sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     model = {"terms": {}, "bias": -2.0, "slope": 1.0}
     if sizes.get(0) and sizes.get(1):
-        once = sample.mapInArrow(_terms, "sketch long, toxic int, term string").distinct()
-        counted = (
-            once.groupBy("term").agg(F.sum("toxic").alias("with_toxic"), F.sum(1 - F.col("toxic")).alias("with_clean"))
-            .filter(F.col("with_toxic") >= LEAST_DOCS).filter(F.col("with_toxic") * sizes[0] >= LEAST_SHARE / (1 - LEAST_SHARE) * F.col("with_clean") * sizes[1])
-            .orderBy(F.desc("with_toxic"), "term").limit(TERMS)
-        )
-        model["terms"] = _choose([tuple(r) for r in counted.collect()], sizes[1], sizes[0])
+        count = lambda label, only: once.filter(F.col("toxic") == label).select("text").repartition(16).mapInArrow(_count_terms(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        with_toxic = {r["term"]: r["n"] for r in count(1, None).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(TERMS).collect()}
+        with_clean = {r["term"]: r["n"] for r in count(0, frozenset(with_toxic)).collect()}
+        model["terms"] = _choose([(t, n, with_clean.get(t, 0)) for t, n in with_toxic.items()], sizes[1], sizes[0])
         got = sample.select("toxic", "text").mapInArrow(_evidences(model["terms"]), "toxic int, evidence double").toArrow()
         x, y = np.log1p(got["evidence"].to_numpy()), got["toxic"].to_numpy()
         w = np.zeros(2)
