@@ -23,8 +23,9 @@ from addrforge.llm.runtime import cut
 from addrforge.llm.vectors import matrix, usable
 
 THRESHOLD = 0.93
-#: Code words of each block; a cap holds about CAPS of the WORDS**2 filters for a random vector.
-WORDS, CAPS = 96, 24
+#: Code words of each block; a random vector lies in about CAPS of the WORDS**2 caps, and every vector is put in its
+#: LEAST best ones at least. A pair at the threshold shares so many of them that a miss is far under one in a million.
+WORDS, CAPS, LEAST = 32, 24, 12
 #: Vectors of a bucket that one task compares with as many others.
 BLOCK = 1500
 
@@ -55,17 +56,20 @@ def _inner(turned: np.ndarray, books: list[np.ndarray], half: int) -> tuple[np.n
     return turned[:, :half] @ books[0].T, second @ books[1].T
 
 
-def list_decode(one: np.ndarray, two: np.ndarray, height: float) -> list[int]:
-    """All filters whose cap a vector lies in; the best one, if it lies in none."""
+def list_decode(one: np.ndarray, two: np.ndarray, height: float) -> np.ndarray:
+    """All filters whose cap a vector lies in, and its LEAST best ones: sorted filter numbers."""
     by_one, by_two = np.argsort(-one), np.argsort(-two)
     falling = two[by_two]
+    # the LEAST best pairs stand among the LEAST best words of either block
+    best = np.sort((one[by_one[:LEAST], None] + falling[None, :LEAST]).ravel())
+    height = min(height, best[-min(LEAST, len(best))])
     out: list[int] = []
     for i in by_one:
         n = int(np.searchsorted(-falling, one[i] - height, side="right"))
         if not n:
             break
         out.extend((i * WORDS + by_two[:n]).tolist())
-    return sorted(out) or [int(by_one[0] * WORDS + by_two[0])]
+    return np.sort(np.array(out, np.uint16))
 
 
 def _decode(batches):
@@ -83,7 +87,7 @@ def _decode(batches):
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         one, two = _inner(x @ rotation, books, half)
         found = [list_decode(a, b, height) for a, b in zip(one, two, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("embedding"), batch.column("n"), pa.array(found, pa.list_(pa.int32()))], ["node", "label", "embedding", "n", "caps"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("embedding"), batch.column("n"), pa.array(found, pa.list_(pa.int32())), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "label", "embedding", "n", "caps", "all_caps"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -94,13 +98,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def compare(threshold: float):
     """Rows of one bucket or pair of blocks -> (node, links counted here, another node of its group or null)."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         cap, first, second = key[1].as_py(), key[3].as_py(), key[4].as_py()
         table = table.combine_chunks()
         node, n, block = table["node"].to_numpy(), table["n"].to_numpy().astype(np.float64), table["block"].to_numpy()
         x = _unit(matrix(table["embedding"].combine_chunks()))
-        caps = table["caps"].combine_chunks()
-        owner, value = np.repeat(np.arange(len(node)), np.diff(caps.offsets.to_numpy())), caps.flatten().to_numpy()
+        listed = table["caps"].to_pylist()
+        owner, value = np.repeat(np.arange(len(node)), [len(c) // 2 for c in listed]), np.frombuffer(b"".join(listed), np.uint16)
         earlier = value < cap
         names, column = np.unique(value[earlier], return_inverse=True)
         member = np.zeros((len(node), max(1, len(names))), np.float32)
@@ -148,10 +152,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a null component. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    kind = dict(vectors.dtypes)["embedding"]
+    rows = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     usable_rows = usable(rows).filter("label is not null and vec_id is not null")
     # -0.0 and 0.0 are one value to the comparison, so to the key
-    keyed = usable_rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))).withColumn("key", F.sha2(F.to_json(F.struct("label", "embedding")), 256))
+    keyed = usable_rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1]))).withColumn("key", F.sha2(F.to_json(F.struct("label", "embedding")), 256))
     keyed = cut(keyed.select("vec_id", "label", "embedding", "key", F.size("embedding").alias("d")))
     nodes = keyed.groupBy("key", "label", "d").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -159,7 +164,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = None
     for d in sizes:  # vectors of one length at a time (there is one in practice)
         part = nodes.filter(F.col("d") == d)
-        decoded = part.select("node", "label", "embedding", "n").mapInArrow(_decode, "node long, label string, embedding array<double>, n long, caps array<int>").withColumn("d", F.lit(d))
+        decoded = part.select("node", "label", "embedding", "n").mapInArrow(_decode, f"node long, label string, embedding {kind}, n long, caps array<int>, all_caps binary").withColumn("d", F.lit(d))
         found = decoded if found is None else found.unionByName(decoded)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -168,7 +173,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = found.withColumn("cap", F.explode("caps")).join(buckets, ["label", "d", "cap"])
     placed = placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "label", "cap", "d", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "n", "embedding", "caps"
+        "label", "cap", "d", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "n", "embedding", F.col("all_caps").alias("caps")
     )
     counted = cut(dealt.groupBy("label", "cap", "d", "first", "second").applyInArrow(compare(threshold), "node long, links long, other long"))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))

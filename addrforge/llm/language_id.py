@@ -144,6 +144,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_predict(*model), "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
 
 
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, with a language that has at least this share of the words."""
+    predict = _predict(*model)
+
+    def run(batches):
+        for batch in batches:
+            for found in predict(iter([batch.select(["text"]).append_column("row", pa.array(np.arange(batch.num_rows)))])):
+                ok = pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("score"), least))
+                yield batch.take(found.column("row").filter(ok))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 

@@ -215,6 +215,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.unionByName(nulls)
 
 
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of near copies: that of its smallest doc_id.
+
+    Rows with a null doc_id stay; of rows that repeat a doc_id one stays.
+    """
+    kept = near_duplicates(docs, threshold).filter("kept and doc_id is not null").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

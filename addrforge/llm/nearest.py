@@ -164,7 +164,7 @@ def _route(low: np.ndarray, high: np.ndarray, factor: float):
 
 
 def _answer(k: int, factor: float, m: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left, right):
         columns: tuple[list, ...] = ([], [], [])
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()

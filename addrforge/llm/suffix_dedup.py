@@ -213,7 +213,7 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _strip(batches):
     for batch in batches:
-        ids, texts, runs = batch.column("doc_id"), batch.column("text"), batch.column("runs")
+        texts, runs = batch.column("text"), batch.column("runs")
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept")}
         for i in range(batch.num_rows):
             raw = (texts[i].as_py() or "").encode()
@@ -228,25 +228,27 @@ def _strip(batches):
             out["n_spans"].append(len(spans))
             out["spans"].append(spans)
             out["kept"].append(kept)
+        carried = [n for n in batch.schema.names if n not in ("text", "runs")]
         yield pa.RecordBatch.from_arrays(
-            [ids, batch.column("k2"), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()),
+            [*map(batch.column, carried), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()),
              pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["kept"], pa.binary())],
-            ["doc_id", "k2", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
+            [*carried, "n_bytes", "n_removed", "n_spans", "spans", "kept"],
         )
 
 
-def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """(doc_id long, text string, ...) -> doc_id, n_bytes, n_removed, n_spans, spans, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, n_buckets: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id long, text string, ...) -> doc_id, the columns named in carry, n_bytes, n_removed, n_spans, spans, kept (the remaining bytes).
 
     A null text is empty; texts under 200 bytes lose nothing; repeated rows (same id and text) repeat
-    each other; rows that share an id keep separate texts; a null id is an id of its own. Other columns are ignored. An empty
-    table gives an empty one. Spans are byte ranges [start, end); cutting inside a character is possible,
-    hence kept is binary.
+    each other; rows that share an id keep separate texts; a null id is an id of its own. Columns not named
+    in carry are ignored. An empty table gives an empty one. Spans are byte ranges [start, end); a cut
+    inside a character is possible, hence kept is binary (see as_text).
     """
     spark = docs.sparkSession
     small_batches(spark)
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k1", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("k2", F.xxhash64("text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    keyed = keyed.withColumn("k1", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("k2", F.xxhash64("text"))
     suffixes = keyed.filter(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(_suffixes, _SUFFIX)
     found = cut(repeated_runs(suffixes, n_buckets))
     open_runs = found.filter(f"state = {OPEN} or witness").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
@@ -256,8 +258,16 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         found.filter(f"state = {FULL}").select("k1", "k2", "lo", "hi").unionByName(settled.select("k1", "k2", "lo", "hi"))
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     )
-    joined = keyed.join(flags, ["k1", "k2"], "left").select("doc_id", "k2", "text", "runs")
-    return joined.mapInArrow(_strip, "doc_id long, k2 long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
+    joined = keyed.join(flags, ["k1", "k2"], "left").select("doc_id", *(["carried"] if carry else []), "text", "runs")
+    types = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    head = ", ".join(f"{c} {types[c]}" for c in joined.columns[:-2])
+    out = joined.mapInArrow(_strip, f"{head}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
+    return out.select("doc_id", *(F.col("carried")[c].alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "spans", "kept")
+
+
+def as_text(kept):
+    """Remaining bytes as text; what a cut left of a character is dropped."""
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def digest(result: DataFrame) -> DataFrame:

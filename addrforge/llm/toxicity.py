@@ -250,6 +250,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double, predicted int, hits array<struct<word: string, term: string, quoted: boolean>>")
 
 
+def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, all columns, whose text is not predicted toxic."""
+
+    def run(batches):
+        lexicon = Lexicon(model["terms"])
+        for batch in batches:
+            z = [model["bias"] + model["slope"] * np.log1p(evidence(x or "", lexicon)[0]) for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([v < 0 for v in z], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
