@@ -41,7 +41,7 @@ def cologne_code(word: Column) -> Column:
             .when(c.isin(one("gkq")), "4")
             .when((c == "c") & (i == 1), F.when(after.isin(one("ahkloqrux")), "4").otherwise("8"))
             .when(c == "c", F.when(~before.isin(one("sz")) & after.isin(one("ahkoqux")), "4").otherwise("8"))
-            .when(c == "x", F.when(before.isin(one("ckq")), "8").otherwise("48"))
+            .when(c == "x", F.when(before.isin(one("ckq")), "8").otherwise("X"))
             .when(c == "l", "5")
             .when(c.isin(one("mn")), "6")
             .when(c == "r", "7")
@@ -49,8 +49,9 @@ def cologne_code(word: Column) -> Column:
             .otherwise("")
         )
 
-    codes = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(spelled), F.lit(1))), code), lambda x: x != "")
-    return F.array_join(F.filter(codes, lambda x, i: (i == 0) | (x != F.get(codes, i - 1))), "")
+    # "48" is one code among one-digit ones: it stands as X until runs have collapsed
+    codes = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(spelled), F.lit(1))), code), "")
+    return F.replace(collapse_runs(codes), F.lit("X"), F.lit("48"))
 
 
 def _words(c: Column) -> Column:
@@ -71,8 +72,7 @@ def code_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def phonetic_score(q: Column, name: Column) -> Column:
-    """0.4 of the German and 0.6 of the Cologne similarity of the whole phrases."""
-    a, b = cologne_code(q), cologne_code(name)
-    cologne = F.when((a == "") | (b == ""), 0.0).otherwise(code_similarity(a, b))
-    return 0.4 * code_similarity(german_code(q), german_code(name)) + 0.6 * cologne
+def phonetic_score(german_a: Column, cologne_a: Column, german_b: Column, cologne_b: Column) -> Column:
+    """0.4 of the German and 0.6 of the Cologne similarity, of codes of whole phrases that were computed before the join."""
+    cologne = F.when((cologne_a == "") | (cologne_b == ""), 0.0).otherwise(code_similarity(cologne_a, cologne_b))
+    return 0.4 * code_similarity(german_a, german_b) + 0.6 * cologne

@@ -18,13 +18,17 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def prepared(queries: DataFrame) -> DataFrame:
     q = F.col("query")
-    return queries.withColumns({"qn": text.normalize_string(q), "qc": text.normalize_compact(q), "titled": text.title_case(q)})
+    return queries.withColumns({"qn": text.normalize_string(q), "qc": text.normalize_compact(q), "titled": text.title_case(q), "q_german": phonetic.german_code(q), "q_cologne": phonetic.cologne_code(q)})
 
 
 def _street_bonus(name: Column) -> Column:
     return F.when(F.lower(name).rlike("straße|strasse"), 0.02).otherwise(0.0)
 
 
+def _sound() -> Column:
+    return phonetic.phonetic_score(*(F.col(c) for c in ("q_german", "q_cologne", "german_whole", "cologne_whole")))
+
+
 def _top(found: DataFrame, limit: int, *order: Column) -> DataFrame:
     ranked = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     return ranked.filter(F.col("r") <= limit).drop("r")
@@ -110,7 +114,7 @@ def typo_search(queries: DataFrame, streets: DataFrame, limit: int = 80) -> Data
     # a three-letter query may have its last letter unknown, and one of four, too
     short = q.filter(F.length("qn") <= 4).join(s.withColumn("key", F.explode(F.array_distinct(F.split("normalized_search", "")))).withColumnRenamed("key", "first"), F.expr("substring(qn, 1, 1) = first")).drop("first")
     every = found.unionByName(short.withColumn("key", F.lit("")), allowMissingColumns=True)
-    hit = every.filter(F.exists("patterns", lambda p: F.col("normalized_search").like(F.concat(F.lit("%"), p, F.lit("%")))))
+    hit = every.filter(F.exists("patterns", lambda p: F.like(F.col("normalized_search"), F.concat(F.lit("%"), p, F.lit("%")))))
     score = F.round(0.62 + geo.prefix_bonus(F.col("qc"), F.col("normalized_name")), 6)
     rows = hit.select("query_id", "street_id", F.lit("C").alias("stage"), score.alias("score")).distinct()
     return _top(rows, limit, F.desc("score"), F.col("street_id"))
@@ -120,7 +124,7 @@ def broad_search(queries: DataFrame, streets: DataFrame, limit: int = 50) -> Dat
     """Names with the query's first letter, scored by opening, sound and spelling, less with distance."""
     q = prepared(queries).withColumn("key", F.substring("qn", 1, 1))
     found = q.join(streets.withColumn("key", F.substring("normalized_search", 1, 1)), "key")
-    raw = 0.4 * (0.4 + geo.prefix_bonus(F.col("qc"), F.col("normalized_name"))) + 0.4 * phonetic.phonetic_score(F.col("query"), F.col("name")) + 0.2 * similarity.fuzzy_score(F.col("qn"), F.col("normalized_search"))
+    raw = 0.4 * (0.4 + geo.prefix_bonus(F.col("qc"), F.col("normalized_name"))) + 0.4 * _sound() + 0.2 * similarity.fuzzy_score(F.col("qn"), F.col("normalized_search"))
     km = geo.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
     score = F.round(geo.distance_penalty(F.least(F.lit(1.0), raw), km), 6)
     return _top(found.select("query_id", "street_id", F.lit("E").alias("stage"), score.alias("score")), limit, F.desc("score"), F.col("street_id"))
@@ -141,7 +145,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, streets: DataFrame, limit:
     found = candidates.join(prepared(queries), "query_id").join(streets, "street_id")
     km = F.bround(geo.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")), 2)
     found = found.withColumn("distance_km", km)
-    combined = F.least(F.lit(1.0), 0.55 * F.col("score") + 0.30 * phonetic.phonetic_score(F.col("query"), F.col("name")) + 0.15 * similarity.fuzzy_score(F.col("qn"), F.col("normalized_search")))
+    combined = F.least(F.lit(1.0), 0.55 * F.col("score") + 0.30 * _sound() + 0.15 * similarity.fuzzy_score(F.col("qn"), F.col("normalized_search")))
     found = found.withColumn("c", combined)
     near = F.when(F.col("distance_km") <= 30, F.least(F.lit(1.0), F.col("c") * 1.2)).when(F.col("distance_km") <= 60, F.least(F.lit(1.0), F.col("c") * 1.05)).otherwise(F.col("c"))
     found = found.withColumn("c", near)
@@ -155,13 +159,18 @@ def rerank(candidates: DataFrame, queries: DataFrame, streets: DataFrame, limit:
 
 
 def autocomplete(queries: DataFrame, streets: DataFrame, limit: int = 10) -> DataFrame:
-    """Openings first; queries they leave open go to fuzzy trigrams, then to sound, then to the broad search; one final order."""
-    a = prefix_search(queries, streets)
+    """Openings first; queries they leave open go to fuzzy trigrams, then to sound, then to the broad search; one final order.
+
+    Derived columns and each wave's candidates (bounded by its limit for each query) are computed once and kept
+    for the waves after it; what is lost with an executor is computed again.
+    """
+    streets = streets.cache()
+    a = prefix_search(queries, streets).cache()
     open_after = lambda found, q: q.join(found.select("query_id").distinct(), "query_id", "left_anti")
     rest = open_after(a, queries)
-    g = fuzzy_trigram(rest, streets)
+    g = fuzzy_trigram(rest, streets).cache()
     rest = open_after(g, rest)
-    d = phonetic_search(rest, streets)
+    d = phonetic_search(rest, streets).cache()
     rest = open_after(d, rest)
     e = broad_search(rest, streets)
     return rerank(best_per_street(a, g, d, e), queries, streets, limit)

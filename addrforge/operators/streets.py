@@ -17,6 +17,8 @@ def derive(streets: DataFrame) -> DataFrame:
             "phonetic_german": phonetic.german_phrase(F.col("name")),
             "phonetic_cologne": phonetic.cologne_phrase(F.col("name")),
             "consonant_key": text.consonant_key(F.col("name")),
+            "german_whole": phonetic.german_code(F.col("name")),
+            "cologne_whole": phonetic.cologne_code(F.col("name")),
             "city_key": text.city_key(F.col("city")),
         }
     )
