@@ -59,7 +59,7 @@ def q_km(a: str, b: str, c: str, d: str) -> str:
 
 
 def q_bonus(a: str, b: str) -> str:
-    return "0.02*(" + "+".join(f"(CASE WHEN length({a})>={n} AND length({b})>={n} AND left({a},{n})=left({b},{n}) THEN 1 ELSE 0 END)" for n in range(1, 7)) + ")"
+    return "0.02e0*(" + "+".join(f"(CASE WHEN length({a})>={n} AND length({b})>={n} AND left({a},{n})=left({b},{n}) THEN 1 ELSE 0 END)" for n in range(1, 7)) + ")"
 
 
 # ---- queries -----------------------------------------------------------------------------------------------------
@@ -188,7 +188,7 @@ def prefix_search(spark, d):
     return retrieve.prefix_search(load(spark, d, "v_queries"), _streets(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("typo_search", f"""{_Q}, hit AS (SELECT query_id, street_id, round(0.62 + {q_bonus('qc', 'nc')}, 6) AS score FROM q JOIN s ON length(qn) >= 3 AND ({' OR '.join(f"(length(qn) >= {i} AND nn LIKE concat('%', left(qn,{i - 1}), '_', substr(qn,{i + 1}), '%'))" for i in range(1, 5))}))
+@query("typo_search", f"""{_Q}, hit AS (SELECT query_id, street_id, round(0.62e0 + {q_bonus('qc', 'nc')}, 6) AS score FROM q JOIN s ON length(qn) >= 3 AND ({' OR '.join(f"(length(qn) >= {i} AND nn LIKE concat('%', left(qn,{i - 1}), '_', substr(qn,{i + 1}), '%'))" for i in range(1, 5))}))
 SELECT query_id, street_id, 'C' AS stage, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, street_id) AS r FROM hit) WHERE r <= 80""")
 def typo_search(spark, d):
     return retrieve.typo_search(load(spark, d, "v_queries"), _streets(spark, d))
