@@ -101,35 +101,33 @@ _SUFFIX = "gram long, context long, k1 long, k2 long, lo int, hi int"
 FULL, OPEN, EDGE = 1, 2, 3
 
 
+def _settle(table: pa.Table, first_gram: int, last_gram: int | None) -> pa.Table:
+    """States of sorted rows; of the runs of first_gram and last_gram, each distinct context is handed on once with its count."""
+    gram, context = table["gram"].to_numpy(), table["context"].to_numpy()
+    n = len(gram)
+    new_gram, lead = np.ones(n, bool), np.ones(n, bool)
+    new_gram[1:] = gram[1:] != gram[:-1]
+    lead[1:] = (context[1:] != context[:-1]) | new_gram[1:]
+    run, group = np.cumsum(new_gram) - 1, np.cumsum(lead) - 1
+    begins = np.flatnonzero(new_gram)
+    ends = np.append(begins[1:], n) - 1
+    mixed = (context[begins] != context[ends])[run]  # sorted: a run has one context only if its ends agree
+    size = np.bincount(group)[group]
+    edge = (gram == first_gram) | (gram == last_gram if last_gram is not None else False)
+    state = np.where(size > 1, FULL, np.where(edge, EDGE, np.where(mixed, OPEN, 0))).astype(np.int8)
+    handed = edge & lead
+    for name, values in (("state", state), ("witness", (size > 1) & mixed & lead & ~edge), ("edge", handed), ("n", np.where(handed, size, 0))):
+        table = table.append_column(name, pa.array(values))
+    # only what is handed on is still compared: elsewhere the hashes have done their work
+    for k in (0, 1):
+        table = table.set_column(k, table.column_names[k], pa.array(np.where(handed, (gram, context)[k], 0)))
+    return table.filter(pa.array(state > 0))
+
+
 def _runs(batches):
-    """Sorted (gram, context) rows of one bucket -> state of each; runs at the bucket's edges stay undecided."""
+    """Sorted (gram, context) rows of one bucket -> state of each; what the bucket's edges leave undecided is handed on."""
     held: list[pa.RecordBatch] = []
     first_gram = None
-
-    def settle(table: pa.Table, edge_last: bool):
-        gram, context = table["gram"].to_numpy(), table["context"].to_numpy()
-        n = len(gram)
-        new_gram = np.ones(n, bool)
-        new_gram[1:] = gram[1:] != gram[:-1]
-        run = np.cumsum(new_gram) - 1
-        begins = np.flatnonzero(new_gram)
-        ends = np.append(begins[1:], n) - 1
-        mixed = context[begins] != context[ends]  # sorted: the run has one context only if its ends agree
-        same = np.zeros(n, bool)
-        same[1:] = (context[1:] == context[:-1]) & ~new_gram[1:]
-        same[:-1] |= same[1:].copy()
-        state = np.where(same, FULL, np.where(mixed[run], OPEN, 0)).astype(np.int8)
-        # a repeated context in a mixed run is settled itself, but others of the run compare with it
-        witness = same & mixed[run]
-        lead = np.ones(n, bool)
-        lead[1:] = (context[1:] != context[:-1]) | new_gram[1:]
-        edge = gram == first_gram
-        if edge_last:
-            edge |= gram == gram[-1]
-        state = np.where(edge, EDGE, state).astype(np.int8)
-        table = table.append_column("state", pa.array(state)).append_column("witness", pa.array(witness & lead & ~edge))
-        return table.filter(pa.array(state > 0))
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -137,37 +135,39 @@ def _runs(batches):
             first_gram = batch.column("gram")[0].as_py()
         held.append(batch)
         last = batch.column("gram")[-1].as_py()
-        if batch.column("gram")[0].as_py() == last and sum(b.num_rows for b in held) < 50_000 and last != first_gram:
+        if batch.column("gram")[0].as_py() == last and sum(b.num_rows for b in held) < 50_000:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        gram = table["gram"].to_numpy()
-        if last == first_gram:  # still the bucket's first run: all of it is left to the comparison across buckets
-            out = table.append_column("state", pa.array(np.full(len(gram), EDGE, np.int8))).append_column("witness", pa.array(np.zeros(len(gram), bool)))
-            yield from out.to_batches()
+        if last == first_gram:  # still the bucket's first run: counts of its parts meet again across buckets
+            yield from _settle(table, first_gram, None).to_batches()
             held = []
             continue
-        keep = int(np.searchsorted(gram, last))
+        keep = int(np.searchsorted(table["gram"].to_numpy(), last))
         if keep:
-            yield from settle(table.slice(0, keep).combine_chunks(), False).to_batches()
+            yield from _settle(table.slice(0, keep).combine_chunks(), first_gram, None).to_batches()
             held = table.slice(keep).combine_chunks().to_batches()
     if held:
-        yield from settle(pa.Table.from_batches(held).combine_chunks(), True).to_batches()
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from _settle(table, first_gram, table["gram"][-1].as_py()).to_batches()
 
 
 def repeated_runs(suffixes: DataFrame, n_buckets: int) -> DataFrame:
-    """(gram, context, k1, k2, lo, hi) -> those with an equal gram elsewhere, with state FULL or OPEN and a witness mark."""
+    """(gram, context, k1, k2, lo, hi) -> k1, k2, lo, hi, state and witness of those with an equal gram elsewhere.
+
+    state is FULL (an equal context, too) or OPEN; a witness is one FULL row of each context in a run of several contexts.
+    """
     ordered = suffixes.repartitionByRange(n_buckets, "gram", "context", "k1", "k2", "lo").sortWithinPartitions("gram", "context", "k1", "k2", "lo")
-    found = cut(ordered.mapInArrow(_runs, f"{_SUFFIX}, state tinyint, witness boolean"))
-    edge = found.filter(f"state = {EDGE}")
-    pairs = edge.groupBy("gram", "context").agg(F.count("*").alias("n"))
+    found = cut(ordered.mapInArrow(_runs, f"{_SUFFIX}, state tinyint, witness boolean, edge boolean, n long"))
+    edge = found.filter("edge")
+    pairs = edge.groupBy("gram", "context").agg(F.sum("n").alias("n"))
     grams = pairs.groupBy("gram").agg(F.count("*").alias("n_contexts"))
-    settled = (
-        edge.drop("state", "witness").join(pairs, ["gram", "context"]).join(grams, "gram")
-        .withColumn("state", F.when(F.col("n") > 1, FULL).when(F.col("n_contexts") > 1, OPEN).otherwise(0).cast("tinyint"))
-        .withColumn("witness", (F.col("n") > 1) & (F.col("n_contexts") > 1))
-        .filter("state > 0").select("gram", "context", "k1", "k2", "lo", "hi", "state", "witness")
-    )
-    return found.filter(f"state <> {EDGE}").unionByName(settled)
+    met = edge.drop("n", "witness").join(pairs, ["gram", "context"]).join(grams, "gram")
+    settled = met.select(
+        "k1", "k2", "lo", "hi",
+        F.when(F.col("n") > 1, FULL).when(F.col("n_contexts") > 1, OPEN).otherwise(0).cast("tinyint").alias("state"),
+        ((F.col("n") > 1) & (F.col("n_contexts") > 1)).alias("witness"),
+    ).filter("state > 0")  # rows that were FULL already come once more, which changes nothing but their witness mark
+    return found.filter(f"state <> {EDGE}").select("k1", "k2", "lo", "hi", "state", "witness").unionByName(settled)
 
 
 def _windows(batches):
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None, carry: tuple[s
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     keyed = keyed.withColumn("k1", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("k2", F.xxhash64("text"))
     suffixes = keyed.filter(F.octet_length("text") >= LENGTH).select("k1", "k2", "text").mapInArrow(_suffixes, _SUFFIX)
-    found = cut(repeated_runs(suffixes, n_buckets))
+    found = repeated_runs(suffixes, n_buckets)
     open_runs = found.filter(f"state = {OPEN} or witness").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     windows = keyed.select("k1", "k2", "text").join(open_runs, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_windows, _SUFFIX)
     settled = repeated_runs(windows, n_buckets).filter(f"state = {FULL}")
