@@ -194,7 +194,7 @@ ORACLE = """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM good UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 part AS (SELECT a, min(b) AS c FROM reach GROUP BY a),

@@ -234,8 +234,8 @@ def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
-pairs AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), i -> (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS score
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))) AS score
   FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
