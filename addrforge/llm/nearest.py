@@ -100,7 +100,7 @@ def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, q: np.ndarray, proj
         if not len(rows):
             continue
         diff = vectors[rows] - q
-        distance, near = np.append(distance, (diff * diff).sum(1)), np.append(near, ids[rows])
+        distance, near = np.append(distance, (diff * diff).cumsum(1)[:, -1]), np.append(near, ids[rows])  # summed from left to right, as SQL does
         if len(near) > k:
             best = np.lexsort((near, distance))[:k]
             distance, near = distance[best], near[best]
