@@ -9,6 +9,7 @@ counts by (length, salt), so that a length that very many documents share is nev
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -16,11 +17,12 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from addrforge.llm.bpe import SPACE
+from addrforge.llm.bpe import SPACE, byte_letters
 from addrforge.llm.runtime import chunks, cut, small_batches
 
 CAPACITY, END_ID = 4096, 1
@@ -30,8 +32,26 @@ RANKED_TOGETHER = 100_000
 REMEMBERED = 800_000
 
 
-class SpacedEncoder:
-    """A tokenizers file whose pretokens never span white space: ids of a text are those of its space-separated strings."""
+class _Words(dict):
+    """Pretoken -> its ids by the file's BPE model, each found when first asked for."""
+
+    def __init__(self, model):
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = {n: "".join(letters[b] for b in chr(n).encode()) for n in range(256)}
+        self.model = model
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.letters))])
+        return out
+
+
+class _Strings(dict):
+    """Space-separated string -> its ids, each found when first asked for.
+
+    Strings of printable Latin-1 are lower-cased and cut into pretokens here, and each distinct pretoken goes to the
+    BPE model once: canonical composition leaves them as they are, and their lower case does not depend on
+    neighbours. All others, and those that may hold a special token, go through the library's whole chain.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,31 +60,48 @@ class SpacedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            pattern = self._pattern(json.load(file))
+        self.pretokens = regex.compile(pattern or r"(?!)").findall
+        self.plain = re.compile("[!-;=-~\xa1-\xff]+" if pattern else r"(?!)").fullmatch
+        self.words = _Words(self.tokenizer.model)
+
+    @staticmethod
+    def _pattern(spec: dict) -> str | None:
+        """The pretokens' pattern, if the file lower-cases and keeps just what the pattern finds."""
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        split, *then = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        kept = split.get("behavior") == "Removed" and split.get("invert") and [x["type"] for x in then] == ["ByteLevel"]
+        bare = kept and not then[0]["add_prefix_space"] and not then[0]["use_regex"]
+        special = all("<" in t["content"] for t in spec["added_tokens"])
+        return split["pattern"]["Regex"] if steps == ["NFC", "Replace", "Lowercase"] and bare and special else None
+
+    def __missing__(self, s: str) -> bytes:
+        if self.plain(s):
+            low = s.lower()
+            out = self.words[low] if low.isalpha() else b"".join([self.words[w] for w in self.pretokens(low)])
+        else:
+            out = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        self[s] = out
+        return out
+
+
+class SpacedEncoder:
+    """A tokenizers file whose pretokens never span white space: ids of a text are those of its space-separated strings."""
+
+    def __init__(self, path: str):
+        self.known = _Strings(path)
         # str.split() also cuts at U+001C to U+001F, which are no white space to the tokenizer
-        self.odd = re.compile("[\x1c-\x1f]")
-        self.cut = re.compile(f"[^{SPACE}]+")
+        self.odd = re.compile("[\x1c-\x1f]").search
+        self.cut = re.compile(f"[^{SPACE}]+").findall
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        plan = [self.cut.findall(t) if self.odd.search(t) else t.split() for t in texts]
-        new: set[str] = set()
-        for parts in plan:
-            new.update(parts)
-        new.difference_update(self.known)
-        listed = list(new)
-        for k in range(0, len(listed), 20_000):
-            some = listed[k : k + 20_000]
-            coded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
-            word = np.array(coded.word_ids, np.float64).astype(np.int64)
-            at = np.searchsorted(word, np.arange(len(some) + 1)) * 4
-            flat = ids.tobytes()
-            for i, s in enumerate(some):
-                self.known[s] = flat[at[i] : at[i + 1]]
+        if len(self.known.words) > REMEMBERED // 2:
+            self.known.words.clear()
         get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in plan]
+        return [b"".join(map(get, self.cut(t) if self.odd(t) else t.split())) for t in texts]
 
 
 _ENCODERS: dict[str, SpacedEncoder] = {}
