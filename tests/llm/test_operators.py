@@ -88,6 +88,19 @@ def test_packing(docs, none, texts):
     assert packing.pack_documents(none, packing.tokenizer_path()).count() == 0
 
 
+def test_packing_ids_of_odd_strings_are_the_librarys():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(packing.tokenizer_path()), packing.SpacedEncoder(packing.tokenizer_path())
+    rng = random.Random(5)
+    odd = ["Σας ΟΔΟΣ é É İ ǅ ½²³ª don't I'LL we'Re '' 's ''t <|endoftext|> <|startoftext|>a <|END \xad x\x85y\x1cz e\u0301 ẞ ß a<|endoftext|>b 1a2b × ÷ a_b \x00 \x7f k \u200bq ﬁ", ""]
+    odd += ["".join(chr(rng.choice([rng.randrange(1, 0x300), rng.randrange(1, 256), rng.randrange(32, 127), 39, 32])) for _ in range(300)) for _ in range(200)]
+    for text, ids in zip(odd, own.encode_batch(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece_once_and_fills_well():
     counts = {n: 1 + (n * 7) % 5 for n in range(1, 400, 3)}
     planned = packing.plan(counts, 1000)
