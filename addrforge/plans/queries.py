@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from addrforge.functions import geo, house_numbers, phonetic, similarity, text
-from addrforge.operators import compat, retrieve, reverse, streets, validate
+from addrforge.operators import compat, query_city, retrieve, reverse, streets, validate
 from addrforge.plans.fixtures import AREAS, areas, load, with_views
 from addrforge.sources import address_csv
 
@@ -306,6 +306,20 @@ def city_centroids(spark, d):
     return streets.city_centroids(load(spark, d, "v_streets")).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
 
 
+ASKED = """SELECT street_id AS query_id, concat(lower(name), ' ', CASE street_id % 4 WHEN 0 THEN lower(city) WHEN 1 THEN replace(lower(city),'ü','ue') WHEN 2 THEN substring(lower(city),1,2 + street_id % 3) ELSE 'xyz' END) AS query,
+  latitude + (street_id % 3) * 1.0e0 AS lat, longitude AS lon FROM v_streets WHERE street_id % 25 < 3"""
+
+
+@query("query_city", with_views("v_streets") + f""", q AS ({ASKED}), c AS (SELECT city, lower(city) AS low, {q_compact('city')} AS comp, avg(latitude) AS c_lat, avg(longitude) AS c_lon FROM v_streets GROUP BY city),
+w AS (SELECT *, string_split(query, ' ') AS ws FROM q), e AS (SELECT *, lower(array_to_string(ws[len(ws)-n+1:], ' ')) AS tail, array_to_string(ws[:len(ws)-n], ' ') AS street FROM (SELECT *, unnest(range(1, least(3, len(ws)-1)+1)) AS n FROM w)),
+m AS (SELECT *, CASE WHEN kind = 2 AND km <= 80 THEN 0 ELSE 1 END AS far FROM (SELECT *, CASE WHEN tail = low THEN 0 WHEN {q_compact('tail')} = comp THEN 1 WHEN n = 1 AND length(tail) >= 3 AND starts_with(comp, {q_compact('tail')}) THEN 2 END AS kind, {q_km('lat', 'lon', 'c_lat', 'c_lon')} AS km FROM e, c) WHERE kind IS NOT NULL),
+b AS (SELECT query_id, street, CASE WHEN far = 0 THEN city ELSE low END AS city FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, kind, far, CASE WHEN far = 0 THEN km ELSE 0 END, length(low), low, city) AS r FROM m) WHERE r = 1)
+SELECT q.query_id, coalesce(b.street, q.query) AS street_query, b.city AS detected_city FROM q LEFT JOIN b USING (query_id)""")
+def city_of_queries(spark, d):
+    found = load(spark, d, "v_streets")
+    return query_city.split_city(spark.sql(ASKED.replace("FROM v_streets", "FROM {v}"), v=found), streets.city_centroids(found))
+
+
 _HOLES = "(SELECT street_id, name, CASE WHEN street_id % 7 = 0 THEN '' ELSE city END AS city, concat('', 10000 + street_id % 400) AS postal_code FROM v_streets)"
 
 

@@ -39,3 +39,14 @@ def test_autocomplete_finds_the_street_asked_for(spark):
         best.setdefault(r["query_id"], set()).add(r["street_id"])
     exact = [q for q in best if q % 3 == 0]
     assert exact and sum(q in best[q] for q in exact) >= 0.9 * len(exact)
+
+
+def test_city_of_odd_queries(spark):
+    from addrforge.operators.query_city import split_city
+
+    cities = spark.createDataFrame([("Neumünster", 54.07, 9.98), ("Neumarkt", 49.28, 11.46), ("Bad Segeberg", 53.93, 10.3), ("", 0.0, 0.0), (None, 1.0, 1.0)], "city string, latitude double, longitude double")
+    asked = {1: ("kampstraße neum", 54.1, 10.0), 2: ("kampstraße neum", None, None), 3: ("weg bad segeberg", 0.0, 0.0), 4: ("neumünster", 54.1, 10.0), 5: (None, 1.0, 1.0), 6: ("", 1.0, 1.0), 7: ("weg NEUMUENSTER", 0.0, 0.0), 8: ("weg ne", 54.1, 10.0)}
+    queries = spark.createDataFrame([(k, *v) for k, v in asked.items()], "query_id long, query string, lat double, lon double")
+    got = {r[0]: (r[1], r[2]) for r in split_city(queries, cities).collect()}
+    assert got == {1: ("kampstraße", "Neumünster"), 2: ("kampstraße", "neumarkt"), 3: ("weg", "bad segeberg"), 4: ("neumünster", None), 5: (None, None), 6: ("", None), 7: ("weg", "neumünster"), 8: ("weg ne", None)}
+    assert split_city(queries.limit(0), cities).count() == 0 and split_city(queries, cities.limit(0)).filter("detected_city is not null").count() == 0
