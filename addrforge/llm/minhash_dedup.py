@@ -8,9 +8,9 @@ documents share draw fewer samples. SAMPLES consistent weighted samples are band
 share a band are candidates, and a candidate counts only after its weighted Jaccard similarity, computed
 from the whole texts, reaches the threshold.
 
-Equal word sequences are one node from the start (a partial aggregate), a band's documents are joined
-as a star around its smallest id, and a second round compares what the first left apart in a band with
-the smallest id of the next component there.
+Equal word sequences are one node from the start (a partial aggregate). A band's documents meet one
+anchor first, the one with the most company over all its bands, then, in rounds, ever more anchors,
+until no two documents that share a band are both uncompared and in different components.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from addrforge.llm import hashing
@@ -30,6 +31,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS, IDF_SPAN = 16, 0.1
 #: Candidates under this share of equal samples are not verified (at 0.8 it is over four deviations off).
 LEAST_ESTIMATE = 0.55
+#: Anchors of a band grow by this factor each round.
+MORE_ANCHORS = 4
 #: Resolution of the tabulated Gamma(2, 1) and uniform variates.
 _TABLE_BITS = 14
 
@@ -177,6 +180,37 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarr
     return cut(both.mapInArrow(_similarities(idf), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold))
 
 
+def _linked(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b) links that join the nodes of each component of all verified band pairs.
+
+    A round compares each band's anchors with the documents of other components there; then they leave the band.
+    So pairs within a component are never compared, all others are, and the number of rounds grows with the
+    logarithm of what stays apart in a band. Anchors are partial aggregates over salted shares of a band.
+    """
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    # a hub stands in the large bands of its copies, each of which leaves some of them
+    left = banded.join(sizes, "band").select("band", "node", (-F.sum("size").over(W.partitionBy("node"))).alias("rank"))
+    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    parts, anchors = None, 1
+    while True:
+        placed = left.withColumn("component", F.col("node")) if parts is None else left.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = cut(placed)
+        mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
+        apart = cut(placed.join(mixed, "band"))
+        if apart.isEmpty():
+            return links
+        share = F.pmod(F.xxhash64("node"), F.lit(anchors))
+        chosen = cut(apart.groupBy("band", share.alias("share")).agg(F.min(F.struct("rank", "node", "component")).alias("p")).select("band", F.col("p.node").alias("anchor"), F.col("p.component").alias("of_anchor")))
+        pairs = apart.join(chosen, "band").filter("component <> of_anchor").select(F.least("node", "anchor").alias("a"), F.greatest("node", "anchor").alias("b")).distinct()
+        found = _verified(pairs, nodes, texts, idf, threshold).select("a", "b")
+        if not found.isEmpty():
+            parts = connected_components(links.unionByName(found))
+            links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        left = apart.join(chosen.select("band", F.col("anchor").alias("node")), ["band", "node"], "left_anti").select("band", "node", "rank")
+        anchors *= MORE_ANCHORS
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id long, text string, ...) -> doc_id, class_id (smallest id of its group), n_class, kept (doc_id = class_id).
 
@@ -194,19 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = wordy.groupBy("whole").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.bands", "s.sig")
     copies = wordy.select("doc_id", "whole").join(wordy.groupBy("whole").agg(F.min("doc_id").alias("node")), "whole").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = cut(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("m"), F.max("node").alias("most")).filter("m < most")
-    shared = cut(banded.join(least.select("band", "m"), "band"))
-    links = _verified(shared.filter("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, idf, threshold).select("a", "b")
-    # what the star around the smallest id left apart is compared with the smallest id of the next component
-    parts = connected_components(links)
-    placed = shared.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    anchor = shared.select(F.col("m").alias("id")).distinct().join(parts, "id", "left").select(F.col("id").alias("m"), F.coalesce("component", "id").alias("of_m"))
-    apart = cut(placed.join(anchor, "m").filter("component <> of_m").select("band", "node", "component"))
-    second = apart.groupBy("band").agg(F.min(F.struct("node", "component")).alias("p"))
-    more = apart.join(second, "band").filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = links.unionByName(_verified(more, nodes, texts, idf, threshold).select("a", "b"))
-    classes = connected_components(links.unionByName(copies))
+    classes = connected_components(_linked(nodes, texts, idf, threshold).unionByName(copies))
     ids = texts.select("doc_id").distinct()
     found = ids.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
     sizes = found.groupBy("class_id").agg(F.count("*").alias("n_class"))

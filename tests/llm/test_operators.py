@@ -51,6 +51,30 @@ def test_minhash_equals_brute_force(docs, none, texts):
     assert minhash_dedup.keep_one(docs).count() == len(texts) - 2 + 1
 
 
+def changed(text, at):
+    held = text.split()
+    for k in at:
+        held[k] = f"changed{k}"
+    return " ".join(held)
+
+
+def test_minhash_finds_hubs_and_chains_whatever_their_ids(spark):
+    rng = random.Random(7)
+    hub = words(11, 200)
+    star = [changed(hub, rng.sample(range(200), 3)) for _ in range(60)]
+    star.insert(30, hub)
+    chain = [words(12, 200)]
+    while len(chain) < 40:
+        chain.append(changed(chain[-1], (5 * len(chain) - 5 + np.array([0, 65, 130])) % 200))
+    rng.shuffle(chain)
+    texts = star + chain
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(table).collect()}
+    want = minhash_dedup.brute_force(dict(enumerate(texts)), minhash_dedup.idf_table(table))
+    assert got == want
+    assert len(set(want[i] for i in range(61))) < 8
+
+
 def test_bpe_equals_the_library(docs, none, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
