@@ -207,6 +207,16 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.link_vectors(table.limit(0)).count() == 0
 
 
+def test_embedding_pairs_at_the_threshold_share_a_filter(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.standard_normal((2, 10000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v, "a") for i, v in enumerate(np.concatenate((x, y)).tolist())], "vec_id long, embedding array<double>, label string")
+    assert {r["n_links"]: r["count"] for r in embedding_dedup.link_vectors(table).groupBy("n_links").count().collect()} == {1: 20000}
+
+
 def test_nearest_recall(spark):
     rows, table = vectors(spark)
     got = {}
