@@ -76,14 +76,21 @@ def list_decode(one: np.ndarray, two: np.ndarray, height: float) -> np.ndarray:
     return np.sort(np.array(out, np.uint16))
 
 
+def _by_length(batch: pa.RecordBatch):
+    d = batch.column("d").to_numpy()
+    for length in np.unique(d):
+        yield batch.filter(pa.array(d == length))
+
+
 def _decode(batches):
-    models: dict[int, tuple] = {}
-    for batch in batches:
+    models: dict[int, list] = {}
+    for batch in (part for whole in batches for part in _by_length(whole)):
         x = matrix(batch.column("embedding"))
         if not len(x):
             continue
         d = x.shape[1]
-        if d not in models:
+        if d not in models:  # batches come sorted by length: one model is held
+            models.clear()
             models[d] = [(*product_code(d, seed), cap_height(d, seed=seed)) for seed in _SEEDS]
         # scaled first: squares of very large or small numbers would leave the range of doubles
         x = x / np.abs(x).max(1, keepdims=True)
@@ -93,7 +100,7 @@ def _decode(batches):
             one, two = _inner(x @ rotation, books, half)
             each.append([list_decode(a, b, height) + np.uint16(table * WORDS**2) for a, b in zip(one, two, strict=True)])
         found = [np.concatenate(f) for f in zip(*each, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("embedding"), batch.column("n"), pa.array(found, pa.list_(pa.int32())), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "label", "embedding", "n", "caps", "all_caps"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("embedding"), batch.column("n"), batch.column("d"), pa.array(found, pa.list_(pa.int32())), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "label", "embedding", "n", "d", "caps", "all_caps"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -166,15 +173,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = cut(keyed.select("vec_id", "label", "embedding", "key", F.size("embedding").alias("d")))
     nodes = keyed.groupBy("key", "label", "d").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    sizes = [r["d"] for r in nodes.select("d").distinct().orderBy("d").limit(64).collect()]
-    found = None
-    for d in sizes:  # vectors of one length at a time (there is one in practice)
-        part = nodes.filter(F.col("d") == d)
-        decoded = part.select("node", "label", "embedding", "n").mapInArrow(_decode, f"node long, label string, embedding {kind}, n long, caps array<int>, all_caps binary").withColumn("d", F.lit(d))
-        found = decoded if found is None else found.unionByName(decoded)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = cut(found)
+    decoded = nodes.select("node", "label", "embedding", "n", "d").sortWithinPartitions("d")
+    found = cut(decoded.mapInArrow(_decode, f"node long, label string, embedding {kind}, n long, d int, caps array<int>, all_caps binary"))
     buckets = found.select("label", "d", F.explode("caps").alias("cap")).groupBy("label", "d", "cap").agg(F.count("*").alias("size")).filter("size > 1")
     placed = found.withColumn("cap", F.explode("caps")).join(buckets, ["label", "d", "cap"])
     placed = placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

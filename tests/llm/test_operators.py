@@ -217,6 +217,16 @@ def test_embedding_pairs_at_the_threshold_share_a_filter(spark):
     assert {r["n_links"]: r["count"] for r in embedding_dedup.link_vectors(table).groupBy("n_links").count().collect()} == {1: 20000}
 
 
+def test_embedding_lengths_are_all_linked(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(8, 78):
+        v = rng.standard_normal(d)
+        rows += [(2 * d, v.tolist(), "a"), (2 * d + 1, (v + 1e-3 * rng.standard_normal(d)).tolist(), "a")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert [tuple(r) for r in embedding_dedup.link_vectors(table).groupBy("n_links").count().collect()] == [(1, 140)]
+
+
 def test_nearest_recall(spark):
     rows, table = vectors(spark)
     got = {}
