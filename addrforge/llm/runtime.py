@@ -7,39 +7,74 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on, unless a single document is longer.
 CHUNK_BYTES = 2 << 20
-#: Rows of an Arrow batch; whole texts travel in it, so it is kept well under Spark's 10,000.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch (one row at least): what a Python worker holds does not depend on how long the rows are.
+BATCH_BYTES = 4 << 20
+#: Shares that join_spread deals the rows of one key out to.
+SALTS = 16
+
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where it is unset, a folder of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only a local session without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="addrforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches carry whole texts: few rows each, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches by bytes. The bound is read when a result is computed, so it stays set; it changes no result."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and survives lost executors."""
+    """Write df to the shared folder and read it again: lineage ends there and survives lost executors.
+
+    The folder is needed until the last result built on it is written; release() deletes it then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession) -> int:
+    """A point in time for release()."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders that cut() wrote after the mark, but for the last keep ones."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - keep]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    paths[since : len(paths) - keep] = []
+
+
+def join_spread(large: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """large joined to small (one row a key), whose rows are repeated SALTS times, so that a key that holds much of large is dealt to many tasks."""
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def chunks(batches, column: str, limit: int = CHUNK_BYTES):
     """Slices of the batches whose texts hold about limit bytes at most (one row at least); (slice, text array)."""
     for batch in batches:

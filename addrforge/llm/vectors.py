@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows whose vector is not null, not empty, not all zero, and holds finite numbers only."""
+def is_usable(column: str = "embedding") -> Column:
+    """Whether a vector is not null, not empty, not all zero, and holds finite numbers only."""
     v = F.col(column)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return vectors.filter(v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(odd, F.lit(True)) & F.exists(v, lambda x: x != 0))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & ~odd & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    return vectors.filter(is_usable(column))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
