@@ -260,8 +260,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = nodes.groupBy("label", "d").agg(F.count("*").alias("n_label"))
     sized = join_spread(nodes.select("node", "label", "embedding", "n", "d"), sizes, ["label", "d"], F.col("node"))
     found = cut(sized.mapInArrow(_decode, f"node long, label string, embedding {kind}, n long, d int, caps array<long>, all_caps binary"))
-    # only buckets over a block are dealt out, so only they need to be known
-    large = found.select("label", "d", F.explode("caps").alias("cap")).groupBy("label", "d", "cap").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    # only buckets over a block are dealt out, so only they need to be known; written, they are broadcast only if small enough
+    large = cut(found.select("label", "d", F.explode("caps").alias("cap")).groupBy("label", "d", "cap").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK))
     placed = found.withColumn("cap", F.explode("caps")).drop("caps").join(large, ["label", "d", "cap"], "left")
     placed = placed.withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
