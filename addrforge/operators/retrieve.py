@@ -120,13 +120,30 @@ def typo_search(queries: DataFrame, streets: DataFrame, limit: int = 80) -> Data
     return _top(rows, limit, F.desc("score"), F.col("street_id"))
 
 
+#: Second letters that are easily mistaken for each other.
+MISTAKEN = ("a", "e", "i", "o")
+
+
+def _by_name(queries: DataFrame, streets: DataFrame, key: Column, street_key: Column) -> DataFrame:
+    """(query_id, name, spoken, spelled): sound and spelling scores of each query and each distinct name that share a key.
+
+    Thousands of streets share a name, so the costly scores are computed for names, not for streets.
+    """
+    names = streets.select("name", "normalized_search", "normalized_name", "german_whole", "cologne_whole").distinct().withColumn("key", street_key)
+    met = queries.withColumn("key", key).withColumn("key", F.explode(F.array_distinct("key"))).join(names, "key")
+    return met.select("query_id", "name", _sound().alias("spoken"), similarity.fuzzy_score(F.col("qn"), F.col("normalized_search")).alias("spelled"), geo.prefix_bonus(F.col("qc"), F.col("normalized_name")).alias("bonus"))
+
+
 def broad_search(queries: DataFrame, streets: DataFrame, limit: int = 50) -> DataFrame:
-    """Names with the query's first letter, scored by opening, sound and spelling, less with distance."""
-    q = prepared(queries).withColumn("key", F.substring("qn", 1, 1))
-    found = q.join(streets.withColumn("key", F.substring("normalized_search", 1, 1)), "key")
-    raw = 0.4 * (0.4 + geo.prefix_bonus(F.col("qc"), F.col("normalized_name"))) + 0.4 * _sound() + 0.2 * similarity.fuzzy_score(F.col("qn"), F.col("normalized_search"))
+    """Names with the query's first two letters, or its first and a second one easily mistaken, scored by opening, sound and spelling, less with distance."""
+    first = F.substring("qn", 1, 1)
+    openings = F.array(F.substring("qn", 1, 2), *(F.concat(first, F.lit(v)) for v in MISTAKEN))
+    q = prepared(queries).filter(F.length("qn") > 0)
+    met = _by_name(q, streets, openings, F.substring("normalized_search", 1, 2))
+    raw = met.select("query_id", "name", F.least(F.lit(1.0), 0.4 * (0.4 + F.col("bonus")) + 0.4 * F.col("spoken") + 0.2 * F.col("spelled")).alias("raw"))
+    found = raw.join(streets.select("street_id", "name", "city", "latitude", "longitude"), "name").join(q.select("query_id", "lat", "lon"), "query_id")
     km = geo.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
-    score = F.round(geo.distance_penalty(F.least(F.lit(1.0), raw), km), 6)
+    score = F.round(geo.distance_penalty(F.col("raw"), km), 6)
     return _top(found.select("query_id", "street_id", F.lit("E").alias("stage"), score.alias("score")), limit, F.desc("score"), F.col("street_id"))
 
 

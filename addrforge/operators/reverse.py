@@ -7,40 +7,59 @@ from pyspark.sql import functions as F
 
 from addrforge.functions import geo
 
-#: Kilometres of the ladder of searches, and degrees of a grid cell.
-LADDER, CELL = (0.1, 1.0, 5.0), 0.05
+#: Kilometres of the ladder of searches, and degrees of the grid cells that each step joins on (a few times its reach).
+LADDER, CELLS = (0.1, 1.0, 5.0), (0.004, 0.02, 0.1)
+#: Degrees of a grid cell that areas are joined on.
+CELL = 0.05
+
+
+def _cell_for(km: float) -> float:
+    return next((c for step, c in zip(LADDER, CELLS, strict=True) if km <= step), km / 50)
+
+
+def _around(queries: DataFrame, km: float, degrees: float) -> DataFrame:
+    b = geo.box(F.col("lat"), F.col("lon"), km)
+    return queries.select("query_id", "lat", "lon", *(v.alias(f"q_{k}") for k, v in b.items()), F.explode(geo.cells_of_box(b, degrees)).alias("cell"))
 
 
 def nearest_addresses(queries: DataFrame, addresses: DataFrame, km: float = LADDER[0]) -> DataFrame:
-    """(query_id, lat, lon) -> the nearest address within km, ties to the smaller id."""
-    q = queries.withColumn("cell", F.explode(geo.cells_of_box(geo.box(F.col("lat"), F.col("lon"), km), CELL)))
-    a = addresses.withColumn("cell", geo.cell(F.col("latitude"), F.col("longitude"), CELL))
-    found = q.join(a, "cell").withColumn("km", geo.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))).filter(F.col("km") <= km)
-    best = found.groupBy("query_id").agg(F.min_by(F.struct("address_id", "street_id", "house_number", "km"), F.struct(F.round("km", 9), "address_id")).alias("s"))
-    return best.select("query_id", "s.*")
+    """(query_id, lat, lon) -> the nearest address within km, ties to the smaller id. Queries without a place find nothing."""
+    degrees = _cell_for(km)
+    a = addresses.withColumn("cell", geo.cell(F.col("latitude"), F.col("longitude"), degrees))
+    met = _around(queries, km, degrees).join(a, "cell").filter(F.col("latitude").between(F.col("q_lat_min"), F.col("q_lat_max")) & F.col("longitude").between(F.col("q_lon_min"), F.col("q_lon_max")))
+    away = geo.haversine(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
+    best = met.groupBy("query_id").agg(F.min(F.struct(F.round(away, 9).alias("km"), "address_id", "street_id", "house_number", "latitude", "longitude")).alias("s"))
+    return best.select("query_id", "s.address_id", "s.street_id", "s.house_number", "s.latitude", "s.longitude", "s.km").filter(F.col("km") <= km)
 
 
 def nearest_segments(queries: DataFrame, segments: DataFrame, km: float = LADDER[-1]) -> DataFrame:
-    """(query_id, lat, lon) -> the nearest segment within km with its closest point, ties to the smaller id."""
-    q = queries.withColumn("cell", F.explode(geo.cells_of_box(geo.box(F.col("lat"), F.col("lon"), km), CELL)))
+    """(query_id, lat, lon) -> the nearest segment within km with its closest point, ties to the smaller id.
+
+    Boxes are compared before any geometry; a pair that meets in several cells is computed in each and counts once.
+    """
+    degrees = _cell_for(km)
     own = {"lat_min": F.col("min_lat"), "lat_max": F.col("max_lat"), "lon_min": F.col("min_lon"), "lon_max": F.col("max_lon")}
-    s = segments.withColumn("cell", F.explode(geo.cells_of_box(own, CELL)))
+    s = segments.withColumn("cell", F.explode(geo.cells_of_box(own, degrees)))
+    met = _around(queries, km, degrees).join(s, "cell").filter("max_lat >= q_lat_min and min_lat <= q_lat_max and max_lon >= q_lon_min and min_lon <= q_lon_max")
     at = geo.nearest_on_segment(*(F.col(c) for c in ("lat", "lon", "start_lat", "start_lon", "end_lat", "end_lon")))
-    found = q.join(s, "cell").withColumns({"km": at["km"], "at_lat": at["lat"], "at_lon": at["lon"]}).filter(F.col("km") <= km)
-    best = found.groupBy("query_id").agg(F.min_by(F.struct("segment_id", "street_id", "at_lat", "at_lon", "km"), F.struct(F.round("km", 9), "segment_id")).alias("s"))
-    return best.select("query_id", "s.*")
+    best = met.groupBy("query_id").agg(F.min(F.struct(F.round(at["km"], 9).alias("km"), "segment_id", "street_id", at["lat"].alias("at_lat"), at["lon"].alias("at_lon"))).alias("s"))
+    return best.select("query_id", "s.segment_id", "s.street_id", "s.at_lat", "s.at_lon", "s.km").filter(F.col("km") <= km)
 
 
 def reverse(queries: DataFrame, addresses: DataFrame, segments: DataFrame) -> DataFrame:
-    """The nearest address within the first step of the ladder, else the nearest segment within the last; level is the step."""
-    a = nearest_addresses(queries, addresses).select("query_id", "address_id", F.col("street_id").alias("a_street"), "house_number", F.col("km").alias("a_km"))
-    s = nearest_segments(queries, segments).select("query_id", "segment_id", F.col("street_id").alias("s_street"), F.col("km").alias("s_km"))
-    both = queries.select("query_id").join(a, "query_id", "left").join(s, "query_id", "left")
-    km = F.coalesce("a_km", "s_km")
-    level = F.when(km <= LADDER[0], 1).when(km <= LADDER[1], 2).when(km <= LADDER[2], 3)
-    return both.select(
-        "query_id", km.isNotNull().alias("exists"), "address_id", F.when(F.col("address_id").isNull(), F.col("segment_id")).alias("segment_id"),
-        F.coalesce("a_street", "s_street").alias("street_id"), "house_number", F.round(km, 6).alias("distance_km"), level.alias("level"),
+    """The nearest address within the first step of the ladder, else the nearest segment within ever wider steps; level is the step.
+
+    Each step is asked only for the queries that the steps before left open. query_id must be unique.
+    """
+    a = nearest_addresses(queries, addresses)
+    answers = a.select("query_id", "address_id", F.lit(None).cast("long").alias("segment_id"), "street_id", "house_number", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "km", F.lit(1).alias("level"))
+    left = queries.select("query_id", "lat", "lon").join(a.select("query_id"), "query_id", "left_anti")
+    for level, km in enumerate(LADDER, 1):
+        s = nearest_segments(left, segments, km)
+        answers = answers.unionByName(s.select("query_id", F.lit(None).cast("long").alias("address_id"), "segment_id", "street_id", F.lit(None).cast("string").alias("house_number"), F.round("at_lat", 6).alias("lat"), F.round("at_lon", 6).alias("lon"), "km", F.lit(level).alias("level")))
+        left = left.join(s.select("query_id"), "query_id", "left_anti")
+    return queries.select("query_id").join(answers, "query_id", "left").select(
+        "query_id", F.col("km").isNotNull().alias("exists"), "address_id", "segment_id", "street_id", "house_number", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.round("km", 6).alias("distance_km"), "level"
     )
 
 

@@ -267,7 +267,7 @@ SELECT query_id, address_id, street_id, house_number, round(km, 6) AS km FROM (S
 
 @query("reverse_address", _REV_A.format(km=0.2))
 def reverse_address(spark, d):
-    return reverse.nearest_addresses(load(spark, d, "v_queries"), load(spark, d, "v_addresses"), 0.2).withColumn("km", F.round("km", 6))
+    return reverse.nearest_addresses(load(spark, d, "v_queries"), load(spark, d, "v_addresses"), 0.2).select("query_id", "address_id", "street_id", "house_number", F.round("km", 6).alias("km"))
 
 
 @query("reverse_segment", with_views("v_segments", "v_queries") + f""", p AS (SELECT query_id, segment_id, street_id, lat, lon, start_lat, start_lon, end_lat, end_lon, cos(radians((lat+start_lat+end_lat)/3)) AS k FROM v_queries JOIN v_segments ON max_lat >= lat-0.05 AND min_lat <= lat+0.05 AND max_lon >= lon-0.09 AND min_lon <= lon+0.09),
@@ -278,9 +278,22 @@ def reverse_segment(spark, d):
     return reverse.nearest_segments(load(spark, d, "v_queries"), load(spark, d, "v_segments")).select("query_id", "segment_id", "street_id", F.round("km", 6).alias("km"))
 
 
-@query("reverse")
+POINTS = "SELECT query_id, lat + CASE query_id % 4 WHEN 0 THEN 0.0e0 ELSE 0.1e0 END AS lat, lon FROM v_queries"
+
+
+@query("reverse", with_views("v_segments", "v_addresses", "v_queries") + f""", points AS ({POINTS}),
+near AS (SELECT query_id, address_id, street_id, house_number, latitude, longitude, {q_km('lat', 'lon', 'latitude', 'longitude')} AS km FROM points JOIN v_addresses ON latitude BETWEEN lat-0.01 AND lat+0.01 AND longitude BETWEEN lon-0.01 AND lon+0.01),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(km,9), address_id) AS r FROM near WHERE km <= 0.1) WHERE r = 1),
+p AS (SELECT query_id, segment_id, street_id, lat, lon, start_lat, start_lon, end_lat, end_lon, cos(radians((lat+start_lat+end_lat)/3)) AS k FROM points JOIN v_segments ON max_lat >= lat-0.05 AND min_lat <= lat+0.05 AND max_lon >= lon-0.09 AND min_lon <= lon+0.09),
+t AS (SELECT *, CASE WHEN pow((end_lon-start_lon)*k,2)+pow(end_lat-start_lat,2) < 1e-12 THEN 0 ELSE greatest(0,least(1,((lon-start_lon)*k*(end_lon-start_lon)*k+(lat-start_lat)*(end_lat-start_lat))/(pow((end_lon-start_lon)*k,2)+pow(end_lat-start_lat,2)))) END AS t FROM p),
+met AS (SELECT *, start_lat+t*(end_lat-start_lat) AS at_lat, start_lon+t*(end_lon-start_lon) AS at_lon FROM t), hit AS (SELECT *, {q_km('lat', 'lon', 'at_lat', 'at_lon')} AS km FROM met),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(km,9), segment_id) AS r FROM hit WHERE km <= 5) WHERE r = 1)
+SELECT q.query_id, coalesce(a.km, s.km) IS NOT NULL AS exists, a.address_id, CASE WHEN a.km IS NULL THEN s.segment_id END AS segment_id, coalesce(a.street_id, s.street_id) AS street_id, a.house_number,
+ coalesce(a.latitude, round(s.at_lat, 6)) AS latitude, coalesce(a.longitude, round(s.at_lon, 6)) AS longitude, round(coalesce(a.km, s.km), 6) AS distance_km, CASE WHEN coalesce(a.km, s.km) <= 0.1 THEN 1 WHEN coalesce(a.km, s.km) <= 1 THEN 2 WHEN coalesce(a.km, s.km) <= 5 THEN 3 END AS level
+FROM points q LEFT JOIN a USING (query_id) LEFT JOIN s USING (query_id)""")
 def reverse_all(spark, d):
-    return reverse.reverse(load(spark, d, "v_queries"), load(spark, d, "v_addresses"), load(spark, d, "v_segments"))
+    points = spark.sql(POINTS.replace("FROM v_queries", "FROM {v}"), v=load(spark, d, "v_queries"))
+    return reverse.reverse(points, load(spark, d, "v_addresses"), load(spark, d, "v_segments"))
 
 
 _AREAS = "areas(layer, key, min_lat, max_lat, min_lon, max_lon) AS (VALUES " + ", ".join(f"('{a[0]}', '{a[1]}', {a[2]}, {a[3]}, {a[4]}, {a[5]})" for a in AREAS) + ")"
