@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_nearest_neighbours": nearest.ORACLE, "op5_embedding_dedup": embedding_dedup.ORACLE}
+    return {"op1_nearest_neighbours": nearest.ORACLE, "op5_embedding_dedup": embedding_dedup.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE}
