@@ -30,6 +30,8 @@ from addrforge.llm.runtime import CHUNK_BYTES, SALTS, chunks, cut, small_batches
 LENGTH, GRAM = 200, 64
 #: Suffixes of a bucket (a bucket is sorted in one worker: some 300 bytes each).
 BUCKET = 60_000
+#: Leading bytes that make up more than this part of all repeated ones are dealt to many tasks.
+HOT = 1000
 #: Segments that quicksort leaves to the pass over all short segments at once.
 SHORT = 4096
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -350,9 +352,15 @@ def _strip(batches):
 
 def repeated_runs(keyed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(k1, k2, text) of texts of LENGTH bytes or more -> k1, k2, runs of window starts that also start in another place of a different text or of the same."""
-    marks = cut(keyed.select("k1", "k2", "text").mapInArrow(_marks, "gram long, k1 long, k2 long, lo int, hi int, p int"))
-    common = marks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    listed = marks.join(common, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "p")).alias("marks"))
+    # computed anew for the count and for the join: cheaper than keeping all of them on disk
+    marks = keyed.select("k1", "k2", "text").mapInArrow(_marks, "gram long, k1 long, k2 long, lo int, hi int, p int")
+    common = cut(marks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = common.agg(F.sum("n")).first()[0] or 0
+    hot = common.filter(F.col("n") > total / HOT).select("gram", F.lit(True).alias("hot"))  # under HOT rows, as their counts add up to the total
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(0)
+    met = marks.join(F.broadcast(hot), "gram", "left").withColumn("share", share)
+    shares = common.withColumn("share", F.explode(F.when(F.col("n") > total / HOT, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    listed = met.join(shares.select("gram", "share"), ["gram", "share"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "p")).alias("marks"))
     listed = cut(listed)
     n_suffixes = listed.agg(F.sum(F.size("marks"))).first()[0] or 0
     one_each = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))  # dealt by text, as the join wants it
