@@ -9,8 +9,10 @@ share a band are candidates, and a candidate counts only after its weighted Jacc
 from the whole texts, reaches the threshold.
 
 Equal word sequences are one node from the start (a partial aggregate). A band's documents meet one
-anchor first, the one with the most company over all its bands, then, in rounds, ever more anchors,
-until no two documents that share a band are both uncompared and in different components.
+anchor first, the one with the most company over all its bands. Bands that then still hold several
+components are dealt out in pairs of blocks, and every two of their documents of different components are
+compared by their samples, once, in the first band they share. Few pairs that agree often enough are verified as pairs;
+many of one block are verified there at once, as products of the block's weighted shingle matrix.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from addrforge.llm import hashing
 from addrforge.llm.components import connected_components
-from addrforge.llm.runtime import chunks, cut, small_batches
+from addrforge.llm.runtime import chunks, cut, groups, join_spread, small_batches
 
 N_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -31,8 +33,12 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS, IDF_SPAN = 16, 0.1
 #: Candidates under this share of equal samples are not verified (at 0.8 it is over four deviations off).
 LEAST_ESTIMATE = 0.55
-#: Anchors of a band grow by this factor each round.
-MORE_ANCHORS = 4
+#: Documents of a block, and words (a longer document is a block of its own size).
+BLOCK, BLOCK_WORDS = 512, 150_000
+#: Pairs of a block, for each document in it, that are verified one by one; more are verified together.
+FEW = 4
+#: Shingles of a block that one product takes.
+COLUMNS = 4096
 #: Resolution of the tabulated Gamma(2, 1) and uniform variates.
 _TABLE_BITS = 14
 
@@ -151,64 +157,169 @@ def _estimates(batches):
         yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
 
-def _similarities(idf: np.ndarray):
+_BLOCK = ["band", "first", "second"]
+
+
+def _pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one pair of blocks -> the pairs of rows to be verified here: of different components, with samples that agree
+    often enough, and without an earlier band in common."""
+    band, first, second = (group[c][0].as_py() for c in _BLOCK)
+    block, component = group["block"].to_numpy(), group["component"].to_numpy()
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, SAMPLES)
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    found = []
+    for i in range(0, len(a), 64):
+        rows = a[i : i + 64]
+        near = component[rows][:, None] != component[b][None, :]
+        if first == second:
+            near &= rows[:, None] < b[None, :]
+        x, y = np.nonzero(near)
+        x, y = rows[x], b[y]
+        ok = (sig[x] == sig[y]).mean(1) >= LEAST_ESTIMATE
+        found.append(np.stack([x[ok], y[ok]]))
+    x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    shared = bands[x] == bands[y]
+    here = bands[x, shared.argmax(1)] == band if len(x) else np.zeros(0, bool)
+    return x[here], y[here]
+
+
+def _sift(batches):
+    """Blocks by samples alone -> pairs to be verified, or (without b) documents of a block that has too many of them."""
+    for group in groups(batches, _BLOCK):
+        x, y = _pairs_of(group)
+        if not len(x):
+            continue
+        node, block = group["node"].to_numpy(), group["block"].to_numpy()
+        if len(x) <= FEW * group.num_rows:
+            a, b, of = node[x], pa.array(node[y]), block[x]
+        else:
+            some = np.unique(np.concatenate((x, y)))
+            a, b, of = node[some], pa.nulls(len(some), pa.int64()), block[some]
+        key = [pa.array(np.full(len(a), group[c][0].as_py())) for c in _BLOCK]
+        yield pa.RecordBatch.from_arrays([*key, pa.array(of), pa.array(a), b], [*_BLOCK, "block", "a", "b"])
+
+
+def block_similarities(text: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every two texts: the smaller of two weights is a sum over the levels that both counts reach."""
+    s, tf, at, _, _ = _weighted(text)
+    n = len(text)
+    doc = np.repeat(np.arange(n), np.diff(at))
+    counts = np.rint(np.exp(tf.astype(np.float64) - 1)).astype(np.int64)
+    total = np.bincount(doc, _weights(s, tf, idf).astype(np.float64), n)
+    _, column, held_by = np.unique(s, return_inverse=True, return_counts=True)
+    both = held_by[column] > 1
+    s, doc, counts, column = s[both], doc[both], counts[both], column[both]
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    step = np.where(level > 1, np.log(level) - np.log(np.maximum(level - 1, 1)), 1.0)
+    doc, column, s = np.repeat(doc, counts), np.repeat(column, counts), np.repeat(s, counts)
+    name, place = np.unique(np.stack([column, level]), axis=1, return_inverse=True)
+    weight = np.sqrt(step * idf[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+    order = np.argsort(place, kind="stable")
+    doc, place, weight = doc[order], place[order], weight[order]
+    shared = np.zeros((n, n))
+    for begin in range(0, name.shape[1], COLUMNS):
+        i, j = np.searchsorted(place, [begin, begin + COLUMNS])
+        x = np.zeros((n, min(COLUMNS, name.shape[1] - begin)))
+        x[doc[i:j], place[i:j] - begin] = weight[i:j]
+        shared += x @ x.T
+    return shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-12)
+
+
+def _verify_blocks(idf: np.ndarray, threshold: float):
     def run(batches):
-        for batch in batches:
-            for part, left in chunks([batch], "text_a", 1 << 20):
-                s1, tf1, at1, _, _ = _weighted(left)
-                right = part.column("text_b")
-                s2, tf2, at2, _, _ = _weighted(right)
-                doc = np.concatenate((np.repeat(np.arange(len(left)), np.diff(at1)), np.repeat(np.arange(len(left)), np.diff(at2))))
-                key = np.concatenate((s1, s2))
-                weight = np.concatenate((_weights(s1, tf1, idf), _weights(s2, tf2, idf))).astype(np.float64)
-                order = np.lexsort((key, doc))
-                doc, key, weight = doc[order], key[order], weight[order]
-                twin = np.flatnonzero((doc[1:] == doc[:-1]) & (key[1:] == key[:-1]))
-                shared = np.bincount(doc[twin], np.minimum(weight[twin], weight[twin + 1]), len(left))
-                total = np.bincount(doc, weight, len(left))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(shared / np.maximum(total - shared, 1e-12))], ["a", "b", "similarity"])
+        for group in groups(batches, _BLOCK):
+            x, y = _pairs_of(group)
+            near = block_similarities(group["text"].combine_chunks(), idf)[x, y] >= threshold
+            parent = np.arange(group.num_rows)
+            links = []
+            for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                while parent[i] != i:
+                    i = parent[i]
+                while parent[j] != j:
+                    j = parent[j]
+                if i != j:  # links that join what is joined already say nothing
+                    parent[max(i, j)] = min(i, j)
+                    links.append((i, j))
+            node = group["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in links]], pa.int64()), pa.array(node[[y for _, y in links]], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Pairs of node ids whose samples agree often enough and whose whole texts reach the threshold."""
-    sig = lambda s: sigs.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"))
-    likely = cut(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimates, "a long, b long"))
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(both.mapInArrow(_similarities(idf), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold))
+def _stars(idf: np.ndarray, threshold: float):
+    """Rows sorted by anchor and share, the anchor itself first -> the pairs of an anchor and a document that reach the threshold."""
+
+    def run(batches):
+        held = None  # the anchor whose documents may go on in the next slice
+        for part, text in chunks(batches, "text", 1 << 20):
+            node, own = part.column("node").to_numpy(), part.column("own").to_numpy(zero_copy_only=False)
+            if held is not None:
+                node, own, text = np.append(held[0], node), np.append(True, own), pa.concat_arrays([held[1], text])
+            last = np.flatnonzero(own)[-1]
+            held = node[last], text.slice(last, 1)
+            s, tf, at, _, _ = _weighted(text)
+            weight, sizes = _weights(s, tf, idf).astype(np.float64), np.diff(at)
+            docs = np.flatnonzero(~own)
+            anchor = np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))[docs]
+            rows = np.concatenate((docs, anchor))
+            pair = np.repeat(np.tile(np.arange(len(docs)), 2), sizes[rows])
+            at_entry = np.arange(sizes[rows].sum()) + np.repeat(at[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows])
+            key, value = s[at_entry], weight[at_entry]
+            order = np.lexsort((key, pair))
+            pair, key, value = pair[order], key[order], value[order]
+            twin = np.flatnonzero((pair[1:] == pair[:-1]) & (key[1:] == key[:-1]))
+            shared = np.bincount(pair[twin], np.minimum(value[twin], value[twin + 1]), len(docs))
+            total = np.bincount(pair, value, len(docs))
+            near = shared / np.maximum(total - shared, 1e-12) >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(node[anchor[near]]), pa.array(node[docs[near]])], ["a", "b"])
+
+    return run
+
+
+def _verified(likely: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs (a, b) of node ids whose whole texts reach the threshold.
+
+    The documents of an anchor a are dealt out in shares; its text is sent once a share, not once a pair.
+    """
+    shares = likely.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    stars = shares.select(F.col("a").alias("anchor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("a").alias("node"), F.lit(True).alias("own"))
+    docs = join_spread(likely, shares, ["a"], F.col("b")).select(F.col("a").alias("anchor"), F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"), F.col("b").alias("node"), F.lit(False).alias("own"))
+    rows = stars.unionByName(docs).join(texts.withColumnRenamed("doc_id", "node"), "node").select("anchor", "share", "own", "node", "text")
+    return rows.repartition("anchor", "share").sortWithinPartitions("anchor", "share", F.desc("own")).mapInArrow(_stars(idf, threshold), "a long, b long")
 
 
 def _linked(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """(a, b) links that join the nodes of each component of all verified band pairs.
 
-    A round compares each band's anchors with the documents of other components there; then they leave the band.
-    So pairs within a component are never compared, all others are, and the number of rounds grows with the
-    logarithm of what stays apart in a band. Anchors are partial aggregates over salted shares of a band.
+    First each band's documents meet its anchor, which joins most copies; then, in the bands that still hold several
+    components, all pairs of different components, in blocks.
     """
     banded = nodes.select("node", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     # a hub stands in the large bands of its copies, each of which leaves some of them
-    left = banded.join(sizes, "band").select("band", "node", (-F.sum("size").over(W.partitionBy("node"))).alias("rank"))
-    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    parts, anchors = None, 1
-    while True:
-        placed = left.withColumn("component", F.col("node")) if parts is None else left.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = cut(placed)
-        mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-        apart = cut(placed.join(mixed, "band"))
-        if apart.isEmpty():
-            return links
-        share = F.pmod(F.xxhash64("node"), F.lit(anchors))
-        chosen = cut(apart.groupBy("band", share.alias("share")).agg(F.min(F.struct("rank", "node", "component")).alias("p")).select("band", F.col("p.node").alias("anchor"), F.col("p.component").alias("of_anchor")))
-        pairs = apart.join(chosen, "band").filter("component <> of_anchor").select(F.least("node", "anchor").alias("a"), F.greatest("node", "anchor").alias("b")).distinct()
-        found = _verified(pairs, nodes, texts, idf, threshold).select("a", "b")
-        if not found.isEmpty():
-            parts = connected_components(links.unionByName(found))
-            links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        left = apart.join(chosen.select("band", F.col("anchor").alias("node")), ["band", "node"], "left_anti").select("band", "node", "rank")
-        anchors *= MORE_ANCHORS
+    left = cut(banded.join(sizes, "band").select("band", "node", (-F.sum("size").over(W.partitionBy("node"))).alias("rank")))
+    chosen = left.groupBy("band").agg(F.min(F.struct("rank", "node")).alias("p")).select("band", F.col("p.node").alias("anchor"))
+    pairs = join_spread(left, chosen, ["band"], F.col("node")).filter("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct()
+    sig = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"))
+    likely = cut(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimates, "a long, b long"))
+    first = cut(_verified(likely, texts, idf, threshold))
+    parts = connected_components(first).withColumnRenamed("id", "node")
+    placed = cut(left.select("band", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    weights = nodes.select("node", "n_words", "bands", "sig")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
+    apart = placed.join(mixed, "band").join(weights, "node")
+    apart = cut(apart)
+    blocks = apart.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
+    dealt = apart.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "component", "bands", "sig")
+    sifted = cut(dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_sift, "band long, first long, second long, block long, a long, b long"))
+    few = _verified(sifted.filter("b is not null").select("a", "b"), texts, idf, threshold)
+    many = sifted.filter("b is null").select(*_BLOCK, "block", F.col("a").alias("node"))
+    many = many.join(weights.drop("n_words"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = many.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_verify_blocks(idf, threshold), "a long, b long")
+    known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return known.unionByName(few).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -225,9 +336,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = idf_table(docs)
     profiles = cut(texts.mapInArrow(_profile(idf), "doc_id long, whole long, n_words long, bands array<long>, sig binary"))
     wordy = profiles.filter("n_words > 0")
-    nodes = wordy.groupBy("whole").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.bands", "s.sig")
+    nodes = wordy.groupBy("whole").agg(F.min(F.struct("doc_id", "bands", "sig", "n_words")).alias("s")).select(F.col("s.doc_id").alias("node"), "s.bands", "s.sig", "s.n_words")
     copies = wordy.select("doc_id", "whole").join(wordy.groupBy("whole").agg(F.min("doc_id").alias("node")), "whole").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    nodes = cut(nodes.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    nodes = cut(nodes)
     classes = connected_components(_linked(nodes, texts, idf, threshold).unionByName(copies))
     ids = texts.select("doc_id").distinct()
     found = ids.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

@@ -90,3 +90,23 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             held += int(n)
         if batch.num_rows > start:
             yield batch.slice(start), text.slice(start)
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of each key, from batches sorted by the keys; a key may go on over batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        new = pa.array([False] * (table.num_rows - 1))
+        for c in keys:
+            column = table[c].combine_chunks()
+            new = pa.compute.or_(new, pa.compute.not_equal(column.slice(1), column.slice(0, table.num_rows - 1)))
+        begins = [0, *(i + 1 for i, x in enumerate(new.to_pylist()) if x)]
+        for a, b in zip(begins[:-1], begins[1:], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(begins[-1])
+    if held is not None:
+        yield held
