@@ -11,8 +11,8 @@ from the whole texts, reaches the threshold.
 Equal word sequences are one node from the start (a partial aggregate). A band's documents meet one
 anchor first, the one with the most company over all its bands. Bands that then still hold several
 components are dealt out in pairs of blocks, and every two of their documents of different components are
-compared by their samples, once, in the first band they share. Few pairs that agree often enough are verified as pairs;
-many of one block are verified there at once, as products of the block's weighted shingle matrix.
+compared by their samples, once, in the first band they share. Those of a block that agree often enough with another are
+sent there with their texts, and verified at once as products of the block's weighted shingle matrix.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ SKETCH_BITS, IDF_SPAN = 16, 0.1
 LEAST_ESTIMATE = 0.55
 #: Documents of a block, and words (a longer document is a block of its own size).
 BLOCK, BLOCK_WORDS = 512, 150_000
-#: Pairs of a block, for each document in it, that are verified one by one; more are verified together.
-FEW = 4
 #: Shingles of a block that one product takes.
 COLUMNS = 4096
 #: Resolution of the tabulated Gamma(2, 1) and uniform variates.
@@ -185,23 +183,16 @@ def _pairs_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sift(batches):
-    """Blocks by samples alone -> pairs to be verified, or (without b) documents of a block that has too many of them."""
+    """Blocks by samples alone -> the documents of each block that have a pair to be verified there."""
     for group in groups(batches, _BLOCK):
         x, y = _pairs_of(group)
-        if not len(x):
-            continue
-        node, block = group["node"].to_numpy(), group["block"].to_numpy()
-        if len(x) <= FEW * group.num_rows:
-            a, b, of = node[x], pa.array(node[y]), block[x]
-        else:
-            some = np.unique(np.concatenate((x, y)))
-            a, b, of = node[some], pa.nulls(len(some), pa.int64()), block[some]
-        key = [pa.array(np.full(len(a), group[c][0].as_py())) for c in _BLOCK]
-        yield pa.RecordBatch.from_arrays([*key, pa.array(of), pa.array(a), b], [*_BLOCK, "block", "a", "b"])
+        if len(x):
+            some = pa.array(np.unique(np.concatenate((x, y))))
+            yield from group.select([*_BLOCK, "block", "node"]).take(some).combine_chunks().to_batches()
 
 
 def block_similarities(text: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of every two texts: the smaller of two weights is a sum over the levels that both counts reach."""
+    """Weighted Jaccard similarity of every two different texts (the diagonal means nothing): the smaller of two weights is a sum over the levels that both counts reach."""
     s, tf, at, _, _ = _weighted(text)
     n = len(text)
     doc = np.repeat(np.arange(n), np.diff(at))
@@ -313,13 +304,11 @@ def _linked(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
     blocks = apart.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
     dealt = apart.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "component", "bands", "sig")
-    sifted = cut(dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_sift, "band long, first long, second long, block long, a long, b long"))
-    few = _verified(sifted.filter("b is not null").select("a", "b"), texts, idf, threshold)
-    many = sifted.filter("b is null").select(*_BLOCK, "block", F.col("a").alias("node"))
-    many = many.join(weights.drop("n_words"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sifted = cut(dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_sift, "band long, first long, second long, block long, node long"))
+    many = sifted.join(weights.drop("n_words"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = many.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_verify_blocks(idf, threshold), "a long, b long")
     known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return known.unionByName(few).unionByName(more)
+    return known.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

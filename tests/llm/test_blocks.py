@@ -25,7 +25,8 @@ def test_block_similarities_equal_those_of_pairs(monkeypatch):
     texts = ["", "a", "a b c d e f"] + [" ".join(rng.choice(line[:4]) for _ in range(40)) for _ in range(6)] + [" ".join(line * k) for k in (1, 3, 9)]
     got = minhash_dedup.block_similarities(pa.array(texts), idf)
     want = np.array([[similar(a, b, idf) for b in texts] for a in texts])
-    assert np.allclose(got, want, atol=1e-5)
+    apart = ~np.eye(len(texts), dtype=bool)
+    assert np.allclose(got[apart], want[apart], atol=1e-5)
 
 
 def test_groups_under_the_threshold_are_compared_in_blocks(spark, monkeypatch):
