@@ -34,7 +34,7 @@ SKETCH_BITS, IDF_SPAN = 16, 0.1
 #: Candidates under this share of equal samples are not verified (at 0.8 it is over four deviations off).
 LEAST_ESTIMATE = 0.55
 #: Documents of a block, and words (a longer document is a block of its own size).
-BLOCK, BLOCK_WORDS = 512, 150_000
+BLOCK, BLOCK_WORDS = 2048, 600_000
 #: Shingles of a block that one product takes.
 COLUMNS = 4096
 #: Resolution of the tabulated Gamma(2, 1) and uniform variates.
@@ -188,7 +188,7 @@ def _sift(batches):
         x, y = _pairs_of(group)
         if len(x):
             some = pa.array(np.unique(np.concatenate((x, y))))
-            yield from group.select([*_BLOCK, "block", "node"]).take(some).combine_chunks().to_batches()
+            yield from group.take(some).combine_chunks().to_batches()
 
 
 def block_similarities(text: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -304,8 +304,8 @@ def _linked(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
     blocks = apart.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).alias("blocks"))
     dealt = apart.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("band", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "component", "bands", "sig")
-    sifted = cut(dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_sift, "band long, first long, second long, block long, node long"))
-    many = sifted.join(weights.drop("n_words"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sifted = cut(dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_sift, dealt.schema))
+    many = sifted.join(texts.withColumnRenamed("doc_id", "node"), "node")
     more = many.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_verify_blocks(idf, threshold), "a long, b long")
     known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return known.unionByName(more)
