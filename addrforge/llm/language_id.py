@@ -4,7 +4,7 @@ A language is a table of byte 4-gram log-likelihoods, learned from labelled docu
 mixture of languages: each word was written in one of them, and expectation-maximisation over the words
 estimates the proportions. The set of languages is chosen by penalised likelihood: the nested sets of
 the most probable one, two, ... languages compete under a penalty of half a logarithm of the word count
-for each language.
+for each language, and grow until it falls.
 """
 
 from __future__ import annotations
@@ -13,16 +13,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from addrforge.llm import hashing
-from addrforge.llm.runtime import chunks, small_batches
+from addrforge.llm.runtime import chunks, first_by_hash, small_batches
 
 #: Labelled documents of each language that the classifier is fitted on (the first by hash of doc_id), whole texts.
 TRAIN_DOCS = 1500
-#: Languages at most (those with most labelled documents); the table has LANGUAGES x 2**GRAM_BITS entries at most.
-LANGUAGES, GRAM_BITS, SMOOTHING = 64, 16, 0.5
+#: The model has 2**GRAM_BITS entries for each language that has a label.
+GRAM_BITS, SMOOTHING = 16, 0.5
 ROUNDS, PENALTY = 8, 0.5
 
 
@@ -58,13 +57,11 @@ def _count(batches):
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(doc_id, text, lang) -> languages and their (2**GRAM_BITS, languages) log-likelihoods.
 
-    The sample is bounded by train_docs for each of LANGUAGES languages; only its ids travel to the scan of texts.
+    The sample is bounded by train_docs for each language; only its ids travel to the scan of texts.
     """
     small_batches(docs.sparkSession)
     known = docs.filter("lang is not null and doc_id is not null and text is not null")
-    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    ranked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= train_docs)
-    chosen = ranked.join(F.broadcast(common), "lang", "left_semi").select("doc_id", "lang").distinct()
+    chosen = first_by_hash(known.select("doc_id", "lang"), "lang", train_docs).distinct()
     texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     got = texts.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
@@ -98,16 +95,23 @@ def _mixtures(likelihood: np.ndarray, at: np.ndarray) -> np.ndarray:
 
     shares, _ = settle(np.full((len(full), n_langs), 1 / n_langs, np.float32), ROUNDS)
     order = np.argsort(-shares, axis=1, kind="stable")
-    best, chosen = np.full(len(full), -np.inf), shares
-    for k in range(1, min(n_langs, 4) + 1):
+    best, chosen = np.full(len(full), -np.inf), shares.copy()
+    going = np.arange(len(full))  # texts whose likelihood the last language raised
+    for k in range(1, n_langs + 1):
         nested = np.zeros_like(shares)
         np.put_along_axis(nested, order[:, :k], np.take_along_axis(shares, order[:, :k], 1) + np.float32(1e-6), 1)
         nested /= nested.sum(1, keepdims=True)
         nested, score = settle(nested, 0 if k == 1 else 3)
         score = score - PENALTY * k * np.log(sizes)
-        better = score > best
-        best = np.where(better, score, best)
-        chosen = np.where(better[:, None], nested, chosen)
+        better = score > best[going]
+        best[going[better]] = score[better]
+        chosen[going[better]] = nested[better]
+        if not better.any():
+            break
+        if not better.all():  # the sets of the others grow no more
+            words = better[doc]
+            going, p, base, sizes, shares, order = going[better], p[words], base[better], sizes[better], shares[better], order[better]
+            begins, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
     out[full] = chosen
     return out
 

@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on, unless a single document is longer.
@@ -92,6 +93,14 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES):
             yield batch.slice(start), text.slice(start)
 
 
+def first_by_hash(df: DataFrame, label: str, n: int) -> DataFrame:
+    """The n rows (doc_id, label) of each label with the smallest hash of doc_id; ranked in shares first, so that no task sees all of a label."""
+    h = F.xxhash64("doc_id")
+    share = df.withColumn("_share", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(256)))
+    some = share.withColumn("_r", F.row_number().over(W.partitionBy(label, "_share").orderBy(h, "doc_id"))).filter(F.col("_r") <= n)
+    return some.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(h, "doc_id"))).filter(F.col("_r") <= n).drop("_r", "_share")
+
+
 def groups(batches, keys: list[str]):
     """Tables of the rows of each key, from batches sorted by the keys; a key may go on over batches."""
     held = None

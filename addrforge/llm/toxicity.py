@@ -4,35 +4,35 @@ Terms (whole words, and stems written with a closing *) are learned from labelle
 log-odds. The terms form a trie; the Levenshtein automaton of a word (its row of edit distances, cut
 off at the allowed distance) is intersected with it, so misspelled terms are found without listing
 them. Each hit is weighed by its distance and by its context: inside quotation marks, or near a word of
-reported speech, it counts as quotation and weighs less than abuse. A logistic curve over the summed
+reported speech, in its own sentence, it counts as quotation and weighs less than abuse. A logistic curve over the summed
 evidence gives the score.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from addrforge.llm.minhash_dedup import _weighted
-from addrforge.llm.runtime import chunks, small_batches
+from addrforge.llm.runtime import chunks, first_by_hash, small_batches
 
 #: Labelled documents of each label that the model is fitted on (the first by hash of doc_id), whole texts.
 TRAIN_DOCS = 3000
 #: A term stands in this many toxic training documents at least; of as many toxic and clean ones, this share of
-#: those it stands in is toxic; and so many candidates, the most frequent ones, are weighed at most.
-LEAST_DOCS, LEAST_SHARE, TERMS = 8, 0.9, 20_000
+#: those it stands in is toxic, and its association with the label is this strong (a log-likelihood ratio).
+LEAST_DOCS, LEAST_SHARE, STRENGTH = 8, 0.9, 20.0
 STEM_LENGTHS = range(3, 10)
 #: Words on either side of a hit that are read as its context, and what a quoted or misspelled hit weighs.
 WINDOW, QUOTED, MISSPELLED = 6, 0.25, 0.6
 REPORTING = frozenset("said says wrote writes quote quoted quotes cited cites called reported reports word term article sagte schrieb zitat zitiert dit écrit citation dijo escribió cita palabra".split())
 OPENING, CLOSING = "“«‹„‘", "”»›“’"
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS, SENTENCE_ENDS = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?\n]")
 REMEMBERED = 1_000_000
 
 
@@ -117,13 +117,17 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[float, list[tuple[str, str, b
         return 0.0, []
     lowered = text.lower()
     words = [(m.group(), m.start(), m.end()) for m in WORDS.finditer(lowered)]
+    ends = [m.start() for m in SENTENCE_ENDS.finditer(lowered)]
     total, hits = 0.0, []
     for i, (word, a, b) in enumerate(words):
         if word not in suspects:
             continue
         term, edits = lexicon.find(word)
-        near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        before, after = lowered[near[0][1] : a], lowered[b : near[-1][2] + 2]
+        # the hit's sentence, with the mark that closes it
+        at = bisect_left(ends, a)
+        left, right = ends[at - 1] + 1 if at else 0, ends[at] + 2 if at < len(ends) else len(lowered)
+        near = [w for w in words[max(0, i - WINDOW) : i + WINDOW + 1] if left <= w[1] < right]
+        before, after = lowered[left:a], lowered[b:right]
         quoted = (
             any(w in REPORTING for w, _, _ in near)
             or (before.count('"') % 2 == 1 and '"' in after)
@@ -139,15 +143,28 @@ def _terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
 
 
-def _count_terms(only: frozenset[str] | None):
-    def run(batches):
-        total: Counter[str] = Counter()
-        for batch in batches:
-            for x in batch.column("text").to_pylist():
-                total.update(_terms_of(x) if only is None else only.intersection(_terms_of(x)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+def _count_terms(batches):
+    total: Counter[tuple[int, str]] = Counter()
+    for batch in batches:
+        for toxic, x in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            total.update((toxic, t) for t in _terms_of(x))
+        if len(total) > REMEMBERED:
+            yield _counted(total)
+            total.clear()
+    yield _counted(total)
 
-    return run
+
+def _counted(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([t for _, t in total], pa.string()), pa.array([n * x for (x, _), n in total.items()], pa.int64()), pa.array([n * (1 - x) for (x, _), n in total.items()], pa.int64())], ["term", "a", "c"])
+
+
+def _associated(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """Terms (term, a toxic and c clean documents) that stand for the label; tested where the counts are."""
+    a, c, n = F.col("a").cast("double"), F.col("c").cast("double"), float(n_toxic + n_clean)
+    cells = [(a, n_toxic, a + c), (n_toxic - a, n_toxic, n - a - c), (c, n_clean, a + c), (n_clean - c, n_clean, n - a - c)]
+    strength = sum((F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0) for seen, row, column in cells), F.lit(0.0)) * 2
+    often = counts.filter(F.col("a") >= LEAST_DOCS).filter(a / n_toxic >= LEAST_SHARE * (a / n_toxic + c / n_clean))
+    return often.withColumn("strength", strength).filter(F.col("strength") >= STRENGTH)
 
 
 def _sketches(batches):
@@ -168,18 +185,9 @@ def _evidences(lexicon_terms: dict[str, float]):
     return run
 
 
-def _choose(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
+def _choose(rows: list[tuple[str, int, int, float]], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Terms with their log-odds; of nested ones (stems and words that open alike) the strongest association stays."""
-    scored = []
-    for term, a, c in rows:
-        if a / n_toxic < LEAST_SHARE * (a / n_toxic + c / n_clean):
-            continue
-        cells = np.array([[a, n_toxic - a], [c, n_clean - c]], float)
-        expected = cells.sum(1, keepdims=True) * cells.sum(0, keepdims=True) / cells.sum()
-        strength = 2 * float((cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum())
-        odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
-        if strength >= 20:  # far beyond what some thousand tries bring about by chance
-            scored.append((strength, term, float(odds)))
+    scored = [(strength, term, float(np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5)))) for term, a, c, strength in rows]
     chosen: dict[str, float] = {}
     for _, term, odds in sorted(scored, key=lambda s: (-round(s[0], 6), -len(s[1].rstrip("*")), s[1])):
         body = term.rstrip("*")
@@ -196,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     """
     small_batches(docs.sparkSession)
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = marked.withColumn("r", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("r") <= train_docs).select("doc_id", "toxic")
+    chosen = first_by_hash(marked, "toxic", train_docs)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = texts.mapInArrow(_sketches, "doc_id long, text string, toxic int, sketch long").cache()
     once = sample.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
@@ -204,10 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     model = {"terms": {}, "bias": -2.0, "slope": 1.0}
     if sizes.get(0) and sizes.get(1):
-        count = lambda label, only: once.filter(F.col("toxic") == label).select("text").repartition(16).mapInArrow(_count_terms(only), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        with_toxic = {r["term"]: r["n"] for r in count(1, None).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(TERMS).collect()}
-        with_clean = {r["term"]: r["n"] for r in count(0, frozenset(with_toxic)).collect()}
-        model["terms"] = _choose([(t, n, with_clean.get(t, 0)) for t, n in with_toxic.items()], sizes[1], sizes[0])
+        counts = once.repartition(16).mapInArrow(_count_terms, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+        found = _associated(counts, sizes[1], sizes[0]).collect()
+        model["terms"] = _choose([(r["term"], r["a"], r["c"], r["strength"]) for r in found], sizes[1], sizes[0])
         got = sample.select("toxic", "text").mapInArrow(_evidences(model["terms"]), "toxic int, evidence double").toArrow()
         x, y = np.log1p(got["evidence"].to_numpy()), got["toxic"].to_numpy()
         w = np.zeros(2)

@@ -241,3 +241,19 @@ def test_nearest_recall(spark):
         hits += len({v for _, v in found} & set(want.tolist()))
     assert hits >= 0.9 * 5 * len(got)
     assert nearest.nearest_neighbours(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_quotation_is_judged_in_the_hits_own_sentence():
+    lexicon = toxicity.Lexicon({"idiot": 2.0})
+    quoted = lambda text: toxicity.evidence(text, lexicon)[1][0][2]
+    assert quoted('"you idiot"') and quoted('Then "You idiot." came from afar') and quoted("he said idiot")
+    assert not quoted("He said nothing. You idiot") and not quoted('"Yes." You idiot, go') and not quoted("you idiot")
+
+
+def test_mixture_takes_as_many_languages_as_the_words_need():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 6):
+        likelihood = np.full((n * 40, 7), -12.0, np.float32) + rng.random((n * 40, 7)).astype(np.float32)
+        likelihood[np.arange(n * 40), np.repeat(np.arange(n), 40)] = -4.0
+        got = language_id._mixtures(np.concatenate((likelihood, likelihood[:40])), np.array([0, n * 40, n * 40, n * 40 + 40]))
+        assert (got[0] > 1e-3).sum() == n and np.allclose(got[0][:n], 1 / n, atol=0.02) and (got[2] > 1e-3).sum() == 1
