@@ -36,37 +36,47 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video noembed noframes xmp".split())
-NEVER = frozenset("nav footer aside form button select menu dialog head search fieldset optgroup option legend".split())
+NEVER = frozenset("nav footer aside button select menu dialog head search fieldset optgroup option legend".split())
 SECTIONS = frozenset("article main section body div aside nav header footer form td".split())
-#: Words of class, id and role that mark what is no main text.
+#: Words of class, id and role that mark what is no main text, alone or with words that only say where or what kind of box.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios commentaires kommentare consent contentinfo cookie cookies "
-    "copyright dialog disqus footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup "
-    "promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent contentinfo cookie cookies "
+    "copyright dialog footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup "
+    "promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget".split()
 )
+PLACES = frozenset("area aside bar bottom box block buttons col column container fixed global group inner items left links list main mobile outer page panel primary right row secondary section site sticky top wrap wrapper".split())
+#: Words that mark reader comments with any other word beside them but those that deny.
+COMMENTS = frozenset("comment comments comentarios commentaires kommentare disqus replies reply respond".split())
+DENIALS = frozenset("no not without with has hide off".split())
+#: A marked element with more of the page's text than this, or with the article in it, is the page's frame.
+FRAME = 0.8
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.DOTALL)
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, article: bool) -> bool:
     if not attributes.strip():
         return False
     if _HIDDEN.search(attributes):
         return True
     for groups in _HINTS.findall(attributes):
-        if MARKS.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(groups)).lower())):
-            return True
+        for token in "".join(groups).split():
+            parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())) - {""}
+            marks = parts & (MARKS - {"header", "masthead"} if article else MARKS)
+            if (marks and parts <= marks | PLACES) or (parts & COMMENTS and not parts & DENIALS):
+                return True
     return False
 
 
 def blocks(page: str) -> list[dict]:
     """Blocks with text in page order: text, linked letters, section number, inside article or main, never main text."""
     out: list[dict] = []
-    # open elements: (name, number, in article, never main text)
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-    number, at, links = 0, 0, 0
+    # open elements: (name, number, in article, never main text, numbers of the marked ones around)
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]
+    frames: set[int] = set()  # marked elements that hold the article
+    number, at, links, link_depth = 0, 0, 0, 0
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -75,7 +85,7 @@ def blocks(page: str) -> list[dict]:
             if text:
                 linked = len("".join(references.unescape("".join(t for t, is_link in parts if is_link)).split()))
                 section = next((x[1] for x in reversed(stack) if x[0] in SECTIONS), 0)
-                out.append({"text": text, "linked": linked, "section": section, "article": stack[-1][2], "never": stack[-1][3]})
+                out.append({"text": text, "linked": linked, "section": section, "article": stack[-1][2], "never": stack[-1][3], "marks": stack[-1][4]})
             parts.clear()
 
     def close(name: str) -> None:
@@ -97,7 +107,7 @@ def blocks(page: str) -> list[dict]:
             continue
         closing, attributes = (found[1] or found[5]) == "/", found[3] or found[7] or ""
         if name == "a":
-            links = 0 if closing else 1
+            links, link_depth = (0, 0) if closing else (1, len(stack))
             continue
         if name in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
@@ -110,38 +120,58 @@ def blocks(page: str) -> list[dict]:
         if name not in BLOCKS:
             continue
         flush()
-        links = 0
         if closing:
             close(name)
+        else:
+            if stack[-1][0] == "p":
+                stack.pop()
+            if name == "li" and stack[-1][0] == "li":
+                stack.pop()
+        if len(stack) < link_depth:  # the element that the link was opened in is closed
+            links = 0
+        if closing or name in VOID:
             continue
-        if stack[-1][0] == "p":
-            stack.pop()
-        if name == "li" and stack[-1][0] == "li":
-            stack.pop()
-        if name in VOID:
-            continue
-        _, _, article, never = stack[-1]
-        article = article or name in ("article", "main")
-        never = never or name in NEVER or (name == "header" and not article) or (name not in ("body", "html", "main") and _marked(attributes))
+        _, _, article, never, marks = stack[-1]
         number += 1
-        stack.append((name, number, article, never))
+        if name in ("article", "main") and not article:
+            article = True
+            frames.update(marks)
+        never = never or name in NEVER or (name == "header" and not article)
+        if name == "form" or (name not in ("body", "html", "main", "article") and _marked(attributes, article)):
+            marks = (*marks, number)
+        stack.append((name, number, article, never, marks))
     flush()
+    total = sum(len(b["text"]) for b in out if not b["never"])
+    held: dict[int, int] = {}
+    for b in out:
+        for mark in b["marks"] if not b["never"] else ():
+            held[mark] = held.get(mark, 0) + len(b["text"])
+    frames.update(mark for mark, n in held.items() if n > FRAME * total)
+    for b in out:
+        b["never"] = b["never"] or not frames.issuperset(b["marks"])
     return out
 
 
-def _first_pass(block: dict) -> bool | None:
-    """True: main text. False: not. None: too short to tell."""
+def _stops(text: str) -> tuple[int, int]:
+    """Words of a block, and those on the list that fits it best."""
+    words = _WORD.findall(text.lower())
+    return len(words), max(sum(map(listed.__contains__, words)) for listed in STOP_WORDS)
+
+
+def _first_pass(block: dict, listed: bool) -> bool | None:
+    """True: main text. False: not. None: too short to tell. Stop words count only if the page's language is listed."""
     if block["never"] or block["linked"] and block["linked"] > LINKED * len(block["text"].replace(" ", "")):
         return False
     if len(block["text"]) < LONG:
         return None
-    words = _WORD.findall(block["text"].lower())
-    density = max(sum(map(listed.__contains__, words)) for listed in STOP_WORDS) / max(1, len(words))
-    return True if density >= STOPPED else None
+    n, stops = _stops(block["text"])
+    return True if not listed or stops >= STOPPED * max(1, n) else None
 
 
 def classify(found: list[dict]) -> list[bool]:
-    first = [_first_pass(b) for b in found]
+    counted = [_stops(b["text"]) for b in found if len(b["text"]) >= LONG and not b["never"]]
+    listed = sum(stops for _, stops in counted) >= STOPPED / 2 * sum(n for n, _ in counted)
+    first = [_first_pass(b, listed) for b in found]
     in_section: dict[int, list[int]] = {}
     for k, b in enumerate(found):
         in_section.setdefault(b["section"], []).append(k)

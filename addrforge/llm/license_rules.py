@@ -106,6 +106,8 @@ apache-1.1|apache|apache (?:software )?license (?:version )?1 1
 apache|apache|apache (?:software )?license
 mit|mit|(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit license
 mit|mit|the mit license(?: mit)?
+mit|mit|mit licen[cs]ed?
+mit|mit|licen[cs]ed? (?:is |type |under )?(?:the )?mit
 mit|mit|opensource org licenses mit(?: license)?(?: php| html)?
 mit|expat|(?:the )?expat license
 x11|x11|(?:the )?x11 license
@@ -276,6 +278,8 @@ def rules() -> list[tuple[str, int, str, str]]:
     for line in IDENTIFIERS.strip().splitlines():
         label, expression = line.split("|", 1)
         keyword = expression.split("(")[0].replace("1?", "").strip()
+        if " " not in expression:  # one word alone may be any word: it must be named as a licence
+            expression = rf"(?:spdx license identifier {expression}|licen[cs]ed? (?:identifier |is |under |the )*{expression}|{expression} licen[cs]ed?)"
         out.append((label, 300, keyword, expression))
     for priority, block in ((200, NAMES), (100, BODIES)):
         for line in block.strip().splitlines():

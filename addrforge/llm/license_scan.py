@@ -21,6 +21,8 @@ from addrforge.llm.runtime import small_batches
 
 #: Phrases that are always reported, all places of each, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: Labels that claim rights but name no licence, and what they score.
+CLAIMS, CLAIM = frozenset(("reserved", "copyright", "proprietary")), 0.3
 _TO_SPACE = bytes(int(hashing.LOWER[b]) if hashing.WORD[b] else 32 for b in range(256))
 
 
@@ -96,7 +98,7 @@ def _scan(batches):
         base_labels = [{BASE[p] for _, p in base} for _, base, _ in rows]
         labels = [b | {d[2] for d in found} for b, (_, _, found) in zip(base_labels, rows, strict=True)]
         # the surest detection counts, by its kind: an identifier, a name or a sentence of the body
-        score = [max([0.9 if b else 0.0, *(min(1.0, d[3] / 300 * 0.5 + 0.5) for d in found)]) for b, (_, _, found) in zip(base_labels, rows, strict=True)]
+        score = [max([0.0, *(CLAIM if x in CLAIMS else 0.9 for x in b), *(CLAIM if d[2] in CLAIMS else min(1.0, d[3] / 300 * 0.5 + 0.5) for d in found)]) for b, (_, _, found) in zip(base_labels, rows, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(p) for p in places], pa.int64()),
