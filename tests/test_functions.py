@@ -36,7 +36,7 @@ def nearest(spark, target, listed):
 
 @pytest.mark.parametrize(
     "target, listed, wanted",
-    [("7", ["3", "7", "7a", "9"], "7"), ("64b", ["60", "64a", "64d", "68"], "64a"), ("12-14", ["11", "14", "40"], "11"), (" 5 ", ["1", "5"], "5"), ("100", ["99", "101"], "99"), ("8", [], None)],
+    [("7", ["3", "7", "7a", "9"], "7"), ("64b", ["60", "64a", "64d", "68"], "64a"), ("12-14", ["11", "14", "40"], "11"), (" 5 ", ["1", "5"], "5"), ("100", ["99", "101"], "101"), ("8", [], None)],
 )
 def test_nearest_house_number(spark, target, listed, wanted):
     assert nearest(spark, target, listed) == wanted
