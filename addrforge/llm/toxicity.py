@@ -3,7 +3,8 @@
 Terms (whole words, and stems written with a closing *) are learned from labelled documents by their
 log-odds. The terms form a trie; the Levenshtein automaton of a word (its row of edit distances, cut
 off at the allowed distance) is intersected with it, so misspelled terms are found without listing
-them. Each hit is weighed by its distance and by its context: inside quotation marks, or near a word of
+them; a stem may be misspelled like a word, and words that clean training texts use are no misspellings.
+Each hit is weighed by its distance and by its context: inside quotation marks, or near a word of
 reported speech, in its own sentence, it counts as quotation and weighs less than abuse. A logistic curve over the summed
 evidence gives the score.
 """
@@ -27,6 +28,8 @@ TRAIN_DOCS = 3000
 #: A term stands in this many toxic training documents at least; of as many toxic and clean ones, this share of
 #: those it stands in is toxic, and its association with the label is this strong (a log-likelihood ratio).
 LEAST_DOCS, LEAST_SHARE, STRENGTH = 8, 0.9, 20.0
+#: A word in so many clean training documents that fails LEAST_SHARE is an ordinary word, no misspelling.
+ORDINARY_DOCS = 2
 STEM_LENGTHS = range(3, 10)
 #: Words on either side of a hit that are read as its context, and what a quoted or misspelled hit weighs.
 WINDOW, QUOTED, MISSPELLED = 6, 0.25, 0.6
@@ -42,24 +45,29 @@ def allowed(n: int) -> int:
 
 
 class Lexicon:
-    """Terms with weights in a trie; find() gives the best term of a word with its distance."""
+    """Terms with weights in a trie; find() gives the best term of a word with its distance. Ordinary words match only unchanged."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], ordinary: frozenset[str] = frozenset()):
         self.weights = dict(terms)
+        self.ordinary = ordinary
         self.root: dict = {}
         for term in terms:
-            node = self.root
-            for c in term.rstrip("*"):
+            node, body = self.root, term.rstrip("*")
+            for c in body:
+                node["edits"] = max(node.get("edits", 0), allowed(len(body)))  # the most that a term below tolerates
                 node = node.setdefault(c, {})
+            node["edits"] = max(node.get("edits", 0), allowed(len(body)))
             node["stem" if term.endswith("*") else "word"] = term
-        # an edit spoils one part of a term cut into (edits + 1): another stands in the word as it is
-        parts = set()
+        # an edit spoils one part of a term cut into (edits + 1): another stands in the word as it is, moved by so many places at most
+        parts: dict[tuple[int, int], set[str]] = {}
         for term in terms:
             t = term.rstrip("*")
-            k = allowed(len(t)) + 1 if not term.endswith("*") else 1
-            step = -(-len(t) // k)
-            parts |= {t[i : i + step] for i in range(0, len(t), step)}
-        self.gate = re.compile("|".join(map(re.escape, sorted(parts))) if parts else r"(?!)")
+            k = allowed(len(t))
+            step = -(-len(t) // (k + 1))
+            for i in range(0, len(t), step):
+                parts.setdefault((max(0, i - k), i + k), set()).add(t[i : i + step])
+        places = (f".{{{a},{b}}}(?:{'|'.join(map(re.escape, sorted(held)))})" for (a, b), held in sorted(parts.items()))
+        self.gate = re.compile("|".join(places) if parts else r"(?!)", re.DOTALL)
         self.known: dict[str, tuple[str, int] | None] = {}
         self.clean: set[str] = set()
 
@@ -68,7 +76,8 @@ class Lexicon:
         if found is self:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            found = self.known[word] = self._intersect(word) if self.gate.search(word) else None
+            found = self._intersect(word) if self.gate.match(word) else None
+            found = self.known[word] = None if found and found[1] and word in self.ordinary else found
         return found
 
     def suspects(self, text: str) -> set[str]:
@@ -87,7 +96,6 @@ class Lexicon:
     def _intersect(self, word: str) -> tuple[str, int] | None:
         """The trie walked together with the word's Levenshtein automaton; fewest edits first, then heavier terms."""
         best = None
-        most = allowed(99)
         stack = [(self.root, list(range(len(word) + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
@@ -96,16 +104,18 @@ class Lexicon:
                 rank = (row[-1], -self.weights[term], term)
                 best = min(best, rank) if best else rank
             term = node.get("stem")
-            if term is not None and depth <= len(word) and row[depth] == 0:  # a stem opens the word unchanged
-                rank = (0, -self.weights[term], term)
+            if term is not None and min(row) <= allowed(depth):  # a stem is like some opening of the word
+                rank = (min(row), -self.weights[term], term)
                 best = min(best, rank) if best else rank
             for c, below in node.items():
                 if len(c) > 1:
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c)))
-                if min(new) <= most:
+                # cells further from the diagonal than the edits allowed below are over them
+                k, new = below["edits"], [len(word) + depth] * (len(word) + 1)
+                new[0] = depth + 1
+                for i in range(max(0, depth - k), min(len(word), depth + 1 + k)):
+                    new[i + 1] = min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c))
+                if min(new) <= k:
                     stack.append((below, new, depth + 1))
         return (best[2], best[0]) if best else None
 
@@ -175,9 +185,21 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("toxic"), pa.array(least, pa.int64())], ["doc_id", "text", "toxic", "sketch"])
 
 
-def _evidences(lexicon_terms: dict[str, float]):
+def _misspelled(terms: dict[str, float]):
+    """Words (term) that the lexicon takes for a misspelled term."""
+
     def run(batches):
-        lexicon = Lexicon(lexicon_terms)
+        lexicon = Lexicon(terms)
+        for batch in batches:
+            found = map(lexicon.find, batch.column("term").to_pylist())
+            yield batch.filter(pa.array([f is not None and f[1] > 0 for f in found], pa.bool_()))
+
+    return run
+
+
+def _evidences(model: dict):
+    def run(batches):
+        lexicon = Lexicon(model["terms"], model["ordinary"])
         for batch in batches:
             total = [evidence(x or "", lexicon)[0] for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(total, pa.float64())], ["toxic", "evidence"])
@@ -186,21 +208,29 @@ def _evidences(lexicon_terms: dict[str, float]):
 
 
 def _choose(rows: list[tuple[str, int, int, float]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms with their log-odds; of nested ones (stems and words that open alike) the strongest association stays."""
+    """Terms with their log-odds; of nested ones (stems and words that open alike) the strongest association stays.
+
+    Whole words that a chosen term opens stay, too, with its log-odds, as their misspellings may not be the term's.
+    """
     scored = [(strength, term, float(np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5)))) for term, a, c, strength in rows]
     chosen: dict[str, float] = {}
     for _, term, odds in sorted(scored, key=lambda s: (-round(s[0], 6), -len(s[1].rstrip("*")), s[1])):
         body = term.rstrip("*")
         if not any(body.startswith(t.rstrip("*")) or t.startswith(body) for t in chosen):
             chosen[term] = odds
-    return chosen
+    covered = {}
+    for _, term, _ in scored:
+        openings = [t for t in chosen if term not in chosen and not term.endswith("*") and term.startswith(t.rstrip("*"))]
+        if openings:
+            covered[term] = max(chosen[t] for t in openings)
+    return chosen | covered
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """(doc_id, text) and (doc_id, toxic) -> model: terms with weights, and the curve's two numbers.
 
     The sample is bounded by train_docs for each label; near copies count once. Only ids, term counts of the
-    bounded sample and one (label, evidence) pair per sampled document are gathered.
+    bounded sample, its ordinary words that are like a term and one (label, evidence) pair per sampled document are gathered.
     """
     small_batches(docs.sparkSession)
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -210,12 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     once = sample.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
     once = sample.join(F.broadcast(once.select("doc_id")), "doc_id", "left_semi").select("toxic", "text")
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    model = {"terms": {}, "bias": -2.0, "slope": 1.0}
+    model = {"terms": {}, "ordinary": frozenset(), "bias": -2.0, "slope": 1.0}
     if sizes.get(0) and sizes.get(1):
-        counts = once.repartition(16).mapInArrow(_count_terms, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+        counts = once.repartition(16).mapInArrow(_count_terms, "term string, a long, c long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).cache()
         found = _associated(counts, sizes[1], sizes[0]).collect()
         model["terms"] = _choose([(r["term"], r["a"], r["c"], r["strength"]) for r in found], sizes[1], sizes[0])
-        got = sample.select("toxic", "text").mapInArrow(_evidences(model["terms"]), "toxic int, evidence double").toArrow()
+        clean_words = counts.filter((F.col("c") >= ORDINARY_DOCS) & (F.col("a") / sizes[1] < LEAST_SHARE * (F.col("a") / sizes[1] + F.col("c") / sizes[0])) & ~F.col("term").endswith("*")).select("term")
+        model["ordinary"] = frozenset(r["term"] for r in clean_words.mapInArrow(_misspelled(model["terms"]), "term string").collect())
+        counts.unpersist()
+        got = sample.select("toxic", "text").mapInArrow(_evidences(model), "toxic int, evidence double").toArrow()
         x, y = np.log1p(got["evidence"].to_numpy()), got["toxic"].to_numpy()
         w = np.zeros(2)
         design = np.stack([np.ones(len(x)), x], 1)
@@ -232,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
 
 def _score(model: dict):
     def run(batches):
-        lexicon = Lexicon(model["terms"])
+        lexicon = Lexicon(model["terms"], model["ordinary"])
         for batch in batches:
             found = [evidence(x or "", lexicon) for x in batch.column("text").to_pylist()]
             z = model["bias"] + model["slope"] * np.log1p(np.array([f[0] for f in found], float))
@@ -261,7 +294,7 @@ def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs, all columns, whose text is not predicted toxic."""
 
     def run(batches):
-        lexicon = Lexicon(model["terms"])
+        lexicon = Lexicon(model["terms"], model["ordinary"])
         for batch in batches:
             z = [model["bias"] + model["slope"] * np.log1p(evidence(x or "", lexicon)[0]) for x in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([v < 0 for v in z], pa.bool_()))

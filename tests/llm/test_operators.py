@@ -166,6 +166,42 @@ def test_toxicity(spark, none):
     assert toxicity.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), model).filter("predicted = 0").count() == 2
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        new = [row[0] + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_equals_plain_distances_over_the_lexicon():
+    rng = random.Random(5)
+    word = lambda a, b: "".join(rng.choice("abcd") for _ in range(rng.randint(a, b)))
+    for _ in range(20):
+        terms = {word(3, 11) + rng.choice(["", "*"]): float(rng.randint(1, 9)) for _ in range(12)}
+        lexicon = toxicity.Lexicon(terms)
+        near = [t.rstrip("*")[:i] + word(0, 2) + t.rstrip("*")[i + rng.randint(0, 2) :] + word(0, 2) for t in terms for i in range(4)]
+        for w in {word(1, 14) for _ in range(60)} | set(near):
+            best = None
+            for term, weight in terms.items():
+                body = term.rstrip("*")
+                edits = min((plain_distance(body, w[:j]) for j in range(len(w) + 1))) if term.endswith("*") else plain_distance(body, w)
+                if edits <= toxicity.allowed(len(body)):
+                    best = min(best or (edits, -weight, term), (edits, -weight, term))
+            assert lexicon.find(w) == (best and (best[2], best[0])), (terms, w)
+
+
+def test_misspelled_forms_of_a_stem_are_caught_and_ordinary_words_are_not():
+    rows = [("idio*", 20, 0, 169.0), ("idiot", 15, 0, 140.0), ("worthles*", 12, 0, 120.0)]
+    terms = toxicity._choose(rows, 50, 50)
+    assert set(terms) == {"idio*", "idiot", "worthles*"} and terms["idiot"] == terms["idio*"]
+    lexicon = toxicity.Lexicon(terms, frozenset({"idoit"}))
+    assert lexicon.find("idxot") == ("idiot", 1) and lexicon.find("idiots")[1] == 0 and lexicon.find("wortless") == ("worthles*", 1)
+    assert lexicon.find("idoit") is None and toxicity.Lexicon({"idio*": 1.0}, frozenset({"idiom"})).find("idiom") == ("idio*", 0)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.op7_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out")
