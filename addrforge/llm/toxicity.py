@@ -150,7 +150,7 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[float, list[tuple[str, str, b
 
 def _terms_of(text: str) -> set[str]:
     words = set(WORDS.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) > n}
+    return words | {w[:n] + "*" for w in words for n in STEM_LENGTHS if len(w) >= n}  # a stem is met by the word that it is, too
 
 
 def _count_terms(batches):

@@ -202,6 +202,13 @@ def test_misspelled_forms_of_a_stem_are_caught_and_ordinary_words_are_not():
     assert lexicon.find("idoit") is None and toxicity.Lexicon({"idio*": 1.0}, frozenset({"idiom"})).find("idiom") == ("idio*", 0)
 
 
+def test_stems_are_counted_where_they_match():
+    terms = toxicity._terms_of("los loser")
+    assert {"los", "los*", "loser", "lose*", "loser*"} <= terms
+    lexicon = {t: toxicity.Lexicon({t: 1.0}) for t in terms}
+    assert all(any(lexicon[t].find(w) == (t, 0) for w in ("los", "loser")) for t in terms)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.op7_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out")
