@@ -35,9 +35,9 @@ def _top(found: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 
 def prefix_search(queries: DataFrame, streets: DataFrame, km: float = 35.0, limit: int = 50) -> DataFrame:
-    """Names that open with the query, in a box around its place; blocked on the first three letters."""
+    """Names that open with the query, in a box around its place; blocked on the first three letters (on all of a shorter query)."""
     q = prepared(queries).withColumn("key", F.substring("qc", 1, 3))
-    s = streets.withColumn("key", F.substring("normalized_name", 1, 3))
+    s = streets.withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("normalized_name", 1, n) for n in (1, 2, 3))))))
     b = geo.box(F.col("lat"), F.col("lon"), km)
     found = q.join(s, "key").filter(F.col("normalized_name").startswith(F.col("qc")))
     found = found.filter(F.col("lat").isNull() | (F.col("latitude").between(b["lat_min"], b["lat_max"]) & F.col("longitude").between(b["lon_min"], b["lon_max"])))

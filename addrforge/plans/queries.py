@@ -11,7 +11,7 @@ from addrforge.sources import address_csv
 
 REQUESTS = """SELECT street_id AS query_id, name AS street_name,
   concat('', 1 + (street_id*7) % 60, CASE WHEN street_id % 5 = 0 THEN 'c' ELSE '' END) AS house_number, city, latitude AS lat, longitude AS lon
-FROM v_streets WHERE street_id % 25 < 3"""
+FROM v_streets"""
 
 # ---- SQL fragments of the oracles -------------------------------------------------------------------------------
 
@@ -126,12 +126,32 @@ def german_phonetic_words(spark, d):
     return words.select("word", phonetic.german_code(F.col("word")).alias("code"))
 
 
-@query("fuzzy_variants")
+def q_once(x: str) -> str:
+    """A list's first occurrences."""
+    return f"[v[1] for v in list_zip({x}, range(1, len({x})+1)) if list_position({x}, v[1]) = v[2]]"
+
+
+_N = q_norm("s")
+_VARIANTS = f"list_concat([{_N}], [left({_N},i-1) || substr({_N},i+1,1) || substr({_N},i,1) || substr({_N},i+2) for i in range(1, length({_N}))], [left({_N},i-1) || substr({_N},i+1) for i in range(1, length({_N})+1)])"
+
+
+@query("fuzzy_variants", f"{NAMES}, listed AS (SELECT id, kind, CASE WHEN length({_N}) < 3 THEN [{_N}] ELSE {_VARIANTS} END AS vs FROM names) SELECT id, kind, array_to_string({q_once('vs')}, '|') AS value FROM listed")
 def fuzzy_variants(spark, d):
     return _names(spark, d).select("id", "kind", F.array_join(text.fuzzy_variants(F.col("s")), "|").alias("value"))
 
 
-@query("selected_trigrams")
+_COMMON = ", ".join(f"'{t}'" for t in text.COMMON_TRIGRAMS)
+
+
+def q_selected(source: str, compact: str) -> str:
+    """CTEs: every row of source with ts, the trigrams of its compact form that are searched."""
+    return f"""g0 AS (SELECT *, [substr({compact},i,3) for i in range(1, length({compact})-1)] AS a FROM {source}), g1 AS (SELECT *, [t for t in a if t NOT IN ({_COMMON})] AS r FROM g0),
+g2 AS (SELECT *, CASE WHEN len(a) >= 3 AND len(r) < 3 THEN a[1:len(a)//2+2] WHEN len(r) = 0 THEN a ELSE r END AS m FROM g1),
+g3 AS (SELECT *, CASE WHEN len(m) >= 9 THEN list_concat(m[1:3], m[len(m)//2:len(m)//2+2]) WHEN len(m) >= 6 THEN list_concat(m[1:3], m[len(m)//2+1:len(m)//2+2], m[len(m)-1:]) WHEN len(m) >= 4 THEN m[1:3] ELSE m END AS w FROM g2),
+selected AS (SELECT * EXCLUDE (a, r, m, w), {q_once('w')} AS ts FROM g3)"""
+
+
+@query("selected_trigrams", f"{NAMES}, {q_selected('names', q_compact('s'))} SELECT id, kind, array_to_string(ts, ' ') AS value FROM selected")
 def selected_trigrams(spark, d):
     return _names(spark, d).select("id", "kind", F.array_join(text.select_trigrams(text.trigrams(text.normalize_compact(F.col("s")))), " ").alias("value"))
 
@@ -162,7 +182,12 @@ def web_mercator(spark, d):
     return load(spark, d, "v_streets").select("street_id", F.round(at["lat"], 6).alias("lat"), F.round(at["lon"], 6).alias("lon"))
 
 
-@query("fuzzy_score")
+_WORDS = f"""q AS (SELECT query_id, {q_norm('query')} AS q FROM v_queries), b AS (SELECT query_id, q, {q_norm('name')} AS n FROM q JOIN v_streets ON street_id = query_id),
+w AS (SELECT *, [list_min([CASE WHEN starts_with(y, x) THEN 0 ELSE least(3, levenshtein(x, y)) END for y in string_split(n, ' ')]) for x in string_split(q, ' ')] AS d FROM b)"""
+
+
+@query("fuzzy_score", with_views("v_streets", "v_queries") + f""", {_WORDS} SELECT query_id, round(CASE WHEN q = n THEN 1e0 WHEN starts_with(n, q) THEN 0.95e0 WHEN contains(q, ' ') AND contains(n, ' ') AND list_max(d) <= 2 THEN greatest(0e0, 1 - list_avg(d)/2)*0.9e0
+ WHEN levenshtein(q, n) <= 2 THEN (1 - levenshtein(q, n)::DOUBLE/greatest(length(q), length(n), 1))*0.8e0 ELSE 0e0 END, 6) AS score FROM w""")
 def fuzzy_score(spark, d):
     q = retrieve.prepared(load(spark, d, "v_queries")).join(_streets(spark, d).select(F.col("street_id").alias("query_id"), "normalized_search"), "query_id")
     return q.select("query_id", F.round(similarity.fuzzy_score(F.col("qn"), F.col("normalized_search")), 6).alias("score"))
@@ -199,12 +224,19 @@ def trigram_postings(spark, d):
     return retrieve.postings(_streets(spark, d)).select("trigram", "street_id", "tf", "n_trigrams")
 
 
-@query("trigram_bm25")
+_BM25 = f"""{_Q}, {q_selected('q', 'qc')}, g AS (SELECT street_id, trigram, count(*) AS tf, any_value(n) AS n FROM (SELECT street_id, length(nc)-2 AS n, unnest([substr(nc,i,3) for i in range(1,length(nc)-1)]) AS trigram FROM s) GROUP BY ALL),
+z AS (SELECT count(*) AS n_docs, avg(n) AS mean_n FROM (SELECT street_id, any_value(n) AS n FROM g GROUP BY ALL)), f AS (SELECT trigram, count(*) AS df FROM g GROUP BY ALL), a AS (SELECT query_id, unnest(ts) AS trigram FROM selected),
+h AS (SELECT query_id, street_id, round(sum(greatest(1e-6, ln((n_docs-df+0.5e0)/(df+0.5e0)))*tf*2.2e0/(tf+1.2e0*(0.25e0+0.75e0*n/mean_n))), 6) AS bm25 FROM a JOIN g USING (trigram) JOIN f USING (trigram), z GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, street_id) AS r FROM h)"""
+
+
+@query("trigram_bm25", f"{_BM25} SELECT query_id, street_id, 'B' AS stage, bm25, round(bm25/(6+bm25), 6) AS score FROM o WHERE r <= 20")
 def trigram_bm25(spark, d):
     return retrieve.trigram_bm25(load(spark, d, "v_queries"), _streets(spark, d))
 
 
-@query("fuzzy_trigram")
+@query("fuzzy_trigram", f"""{_BM25}, e AS (SELECT query_id, street_id, round(CASE levenshtein(qc, nc) WHEN 0 THEN 1e0 WHEN 1 THEN 0.9e0 WHEN 2 THEN 0.75e0 ELSE 0.6e0 END + {q_bonus('qc', 'nc')}, 6) AS score FROM o JOIN q USING (query_id) JOIN s USING (street_id) WHERE r <= 150 AND levenshtein(qc, nc) <= 3)
+SELECT query_id, street_id, 'G' AS stage, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, street_id) AS r FROM e) WHERE r <= 20""")
 def fuzzy_trigram(spark, d):
     return retrieve.fuzzy_trigram(load(spark, d, "v_queries"), _streets(spark, d))
 
@@ -246,12 +278,33 @@ def validate_exact(spark, d):
     return found.filter("match = 1").select("query_id", "address_id", "street_id", "distance_km")
 
 
-@query("validate")
+def q_city_key(x: str) -> str:
+    return q_compact(f"regexp_replace({x},'^(kreis|stadt|gemeinde|hansestadt|landkreis) ','','i')")
+
+
+def q_validate(kept: str, order: str) -> str:
+    """One answer a request: candidates that are kept, the nearest number of each street, then the streets in order."""
+    number = lambda x: rf"try_cast(regexp_extract({x}, '^\s*(\d+)', 1) AS BIGINT)"
+    rest = lambda x: rf"lower(trim(regexp_replace(trim({x}), '^\d+', '')))"
+    return with_views("v_streets", "v_addresses") + f""", q AS ({REQUESTS}), sk AS (SELECT *, {q_norm('name')} AS nn, {q_city_key('city')} AS ck FROM v_streets), qk AS (SELECT *, {q_norm('street_name')} AS qn, {q_city_key('city')} AS qck FROM q),
+c AS (SELECT query_id, qk.house_number AS target, lat, lon, street_id, name, sk.city, postal_code, latitude AS s_lat, longitude AS s_lon,
+ latitude BETWEEN lat - 50/110.574 AND lat + 50/110.574 AND longitude BETWEEN lon - 50/(111.320*greatest(1e-4,cos(radians(lat)))) AND lon + 50/(111.320*greatest(1e-4,cos(radians(lat)))) AS near FROM qk JOIN sk ON nn = qn AND (starts_with(ck, qck) OR starts_with(qck, ck))),
+k AS (SELECT *, bool_or(near) OVER (PARTITION BY query_id) AS any_near FROM c),
+b AS (SELECT k.*, address_id, a.house_number AS found, round({q_km('lat', 'lon', 'coalesce(a.latitude, s_lat)', 'coalesce(a.longitude, s_lon)')}, 6) AS km, bool_or(address_id IS NOT NULL) OVER (PARTITION BY query_id) AS numbered,
+ {number('target')} AS t, {number('a.house_number')} AS f, {rest('target')} AS ts, {rest('a.house_number')} AS fs FROM k LEFT JOIN v_addresses a USING (street_id) WHERE {kept}),
+m AS (SELECT *, CASE WHEN trim(found) = trim(target) THEN 1 WHEN NOT numbered THEN 2 WHEN address_id IS NOT NULL THEN 3 END AS match, CASE WHEN trim(found) = trim(target) THEN 0 WHEN t IS NULL THEN 1 WHEN f = t AND fs = ts THEN 2 WHEN f = t THEN 3 WHEN f IS NOT NULL THEN 4 ELSE 5 END AS rank FROM b),
+g AS (SELECT *, CASE rank WHEN 3 THEN CASE WHEN fs = '' THEN 0 WHEN ts = '' THEN 1 WHEN length(ts) = 1 AND length(fs) = 1 THEN abs(ascii(ts) - ascii(fs)) ELSE abs(length(ts) - length(fs)) + 1 END WHEN 4 THEN abs(f - t) ELSE 0 END AS gap FROM m WHERE match IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, street_id ORDER BY match, rank, gap, CASE WHEN rank IN (3, 4) THEN 0 ELSE address_id END, found, km, address_id) AS r FROM g),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS first FROM p WHERE r = 1)
+SELECT q.query_id, match IS NOT NULL AS exists, match, street_id, address_id, name AS street_name, z.city, postal_code, CASE WHEN match = 2 THEN '0' ELSE found END AS house_number, km AS distance_km FROM q LEFT JOIN (SELECT * FROM z WHERE first = 1) z USING (query_id)"""
+
+
+@query("validate", q_validate("near OR NOT any_near", "match, km, rank, gap, street_id"))
 def validate_all(spark, d):
     return validate.validate(_requests(spark, d), _streets(spark, d), load(spark, d, "v_addresses"))
 
 
-@query("validate_voice")
+@query("validate_voice", q_validate("near", "match, rank, gap, km, street_id"))
 def validate_voice(spark, d):
     return validate.validate(_requests(spark, d), _streets(spark, d), load(spark, d, "v_addresses"), voice=True)
 
@@ -320,7 +373,7 @@ def city_centroids(spark, d):
 
 
 ASKED = """SELECT street_id AS query_id, concat(lower(name), ' ', CASE street_id % 4 WHEN 0 THEN lower(city) WHEN 1 THEN replace(lower(city),'ü','ue') WHEN 2 THEN substring(lower(city),1,2 + street_id % 3) ELSE 'xyz' END) AS query,
-  latitude + (street_id % 3) * 1.0e0 AS lat, longitude AS lon FROM v_streets WHERE street_id % 25 < 3"""
+  latitude + (street_id % 3) * 1.0e0 AS lat, longitude AS lon FROM v_streets"""
 
 
 @query("query_city", with_views("v_streets") + f""", q AS ({ASKED}), c AS (SELECT city, lower(city) AS low, {q_compact('city')} AS comp, avg(latitude) AS c_lat, avg(longitude) AS c_lon FROM v_streets GROUP BY city),
