@@ -30,6 +30,8 @@ from addrforge.llm.runtime import CHUNK_BYTES, SALTS, chunks, cut, small_batches
 LENGTH, GRAM = 200, 64
 #: Suffixes of a bucket (a bucket is sorted in one worker: some 300 bytes each).
 BUCKET = 60_000
+#: Suffixes whose windows are compared at a time (some 70 windows each, held as a dozen numbers).
+STEP = 5_000
 #: Leading bytes that make up more than this part of all repeated ones are dealt to many tasks.
 HOT = 1000
 #: Segments that quicksort leaves to the pass over all short segments at once.
@@ -250,7 +252,7 @@ def settle_bucket(table: pa.Table) -> list[pa.RecordBatch]:
     # the windows of one suffix of each kind, sorted; some thousands of suffixes of whole groups at a time
     begin = 0
     while begin < len(compared):
-        end = min(len(compared), begin + 20_000)
+        end = min(len(compared), begin + STEP)
         while end < len(compared) and of_group[compared[end]] == of_group[compared[end - 1]]:
             end += 1
         some = compared[begin:end]
